@@ -81,3 +81,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import digest_rows, with_repeats
+
+    small_batches(spark)
+    return with_repeats(_table(spark, sf_dir, "documents")).mapInArrow(digest_rows, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

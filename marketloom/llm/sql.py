@@ -56,3 +56,16 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(24 + length({_ROLE}) + length(shown))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM t WHERE len(w) >= 13),
+     h AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS h FROM i),
+     m AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM h),
+     c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM m WHERE low < doc_id),
+     k AS (SELECT t.doc_id, u.q, u.word, c.q IS NOT NULL AS gone
+           FROM t, LATERAL (SELECT unnest(t.w) AS word, generate_subscripts(t.w, 1) AS q) u LEFT JOIN c ON c.doc_id = t.doc_id AND c.q = u.q),
+     g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY q) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT t.doc_id, coalesce(g.n, 0)::BIGINT AS n_words, coalesce(g.r, 0)::BIGINT AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
