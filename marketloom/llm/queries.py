@@ -88,3 +88,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     return with_repeats(_table(spark, sf_dir, "documents")).mapInArrow(digest_rows, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
