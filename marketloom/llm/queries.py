@@ -94,3 +94,22 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import crc_part, identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_part(F.col("doc_id")) == 2
+    out = identify(docs.select("doc_id", "text"), learn(docs.filter(~held_out).select("text", "lang")))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mih import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
