@@ -19,29 +19,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens as tk
 from .common import checked, save, text_key
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANK = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+LINE = "h1 bigint, h2 bigint, doc_id bigint, tkey bigint, pos int, n_lines int"
 EDGE = "h1 bigint, h2 bigint"
 HIT = "doc_id bigint, tkey bigint, n_lines int, pos int"
 BITMAP = "doc_id bigint, tkey bigint, n_lines bigint, n_dropped bigint, keep binary"
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
+def _hash_lines(min_chars: int):
+    """Hashes of the lines' keys from the raw bytes of a batch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(1)
+            for first, end, buf, offs in tk.chunks(batch.column(2)):
+                feeds = np.flatnonzero(buf == 10)
+                text_of_feed = np.searchsorted(offs, feeds, "right") - 1
+                n_lines = np.bincount(text_of_feed, minlength=end - first) + 1
+                # a text's lines end at its feeds and at its own end
+                text = np.repeat(np.arange(end - first), n_lines)
+                head = np.concatenate([[0], np.cumsum(n_lines)[:-1]])
+                ends = np.insert(feeds, np.cumsum(n_lines - 1), offs[1:])
+                pos = np.arange(len(text)) - head[text]
+                starts = np.where(pos == 0, offs[text], np.concatenate([[0], ends[:-1] + 1]))
+                solid = np.flatnonzero(~tk.SPACE[buf])
+                lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+                some = hi > lo
+                text, pos, lo, hi = text[some], pos[some], lo[some], hi[some]
+                a, b = solid[lo], solid[hi - 1] + 1
+                points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+                long = points[b] - points[a] >= min_chars
+                text, pos, a, b = text[long], pos[long], a[long], b[long]
+                h1, h2 = tk.hashes(buf, a, b, lower=True), tk.hashes(buf, a, b, lower=True, second=True)
+                at = pa.array(text + first)
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(at), keys.take(at), pa.array(pos.astype(np.int32)), pa.array(n_lines[text].astype(np.int32))], names=["h1", "h2", "doc_id", "tkey", "pos", "n_lines"])
+
+    return run
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, doc_id, tkey, pos, n_lines) of each line that is long enough."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
-    rows = rows.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= min_chars)
-    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "doc_id", "tkey", "pos", "n_lines")
+    """(h1, h2, doc_id, tkey, pos, n_lines) of each line whose key is long enough."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
+    return own.mapInArrow(_hash_lines(min_chars), LINE)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
@@ -167,11 +192,12 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return own.join(right, (F.col("line_own") == F.col("line_id")) & (F.col("line_own_tkey") == F.col("line_tkey")), "left").select(*docs.columns, "line_keep")
 
 
-def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
-    """The lines that stay, joined by a line feed; how many lines there were; how many are dropped."""
-    lines = (text or "").split("\n")
+def kept_text(text: bytes | None, keep: bytes | None) -> tuple[bytes, int, int]:
+    """The lines that stay, joined by a line feed (UTF-8); how many lines there were; how many are dropped."""
+    text = text or b""
     if keep is None:
-        return "\n".join(lines), len(lines), 0
+        return text, text.count(b"\n") + 1, 0
+    lines = text.split(b"\n")
     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), dtype=np.uint8), count=len(lines)).tolist()
     left = [x for x, b in zip(lines, bits, strict=True) if b]
-    return "\n".join(left), len(lines), len(lines) - len(left)
+    return b"\n".join(left), len(lines), len(lines) - len(left)

@@ -19,12 +19,12 @@ _GEN = np.random.Generator(np.random.PCG64(20240517))
 _TABLE = _GEN.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _UPPER = np.arange(256)
 _UPPER[65:91] += 32
-_LOWER_TABLE = _TABLE[_UPPER]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Odd multipliers by which the words of a window are combined.
 STEP = _GEN.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 STEP2 = _GEN.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+_SECOND = _GEN.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -92,13 +92,14 @@ def spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each span; ``lower`` maps A-Z to a-z first."""
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span; ``lower`` maps A-Z to a-z first, ``second`` takes an independent byte table."""
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
     n = len(buf)
+    table = _SECOND if second else _TABLE
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[buf] * powers(_BASE, n)[:n], out=sums[1:])
+    np.cumsum((table[_UPPER] if lower else table)[buf] * powers(_BASE, n)[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(_INVERSE, n)[starts])
 
 
