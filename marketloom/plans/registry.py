@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("features",)
+
+
+def _merged(attribute: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(import_module(f"marketloom.plans.{name}"), attribute)
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _merged("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("ORACLES")
