@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
-    """One row a trade: symbol, day, price in whole cents, quantity and a total order.  level: region, nation, stock or market."""
+    """One row a trade: symbol, day, price in whole cents, quantity and a total order.  level: region, nation, stock, sector or market."""
     li = table(spark, sf_dir, "lineitem")
     if level in ("region", "nation"):
         li = li.join(F.broadcast(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -24,6 +24,9 @@ def trades(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame
     elif level == "stock":
         li = li.join(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         symbol = F.concat_ws("|", "p_type", "p_brand")
+    elif level == "sector":
+        li = li.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        symbol = F.col("p_type")
     else:
         symbol = F.lit("MARKET")
     tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")

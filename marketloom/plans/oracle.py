@@ -6,9 +6,10 @@ JOIN = {
     "region": "JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "nation": "JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey",
     "stock": "JOIN part ON l_partkey = p_partkey",
+    "sector": "JOIN part ON l_partkey = p_partkey",
     "market": "",
 }
-SYMBOL = {"region": "r_name", "nation": "n_name", "stock": "p_type || '|' || p_brand", "market": "'MARKET'"}
+SYMBOL = {"region": "r_name", "nation": "n_name", "stock": "p_type || '|' || p_brand", "sector": "p_type", "market": "'MARKET'"}
 
 
 def bars(level: str = "region", grain: str = "day") -> str:
