@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("features", "patterns", "structure", "weekly")
+MODULES = ("features", "patterns", "structure", "weekly", "leaders", "streams")
 
 
 def _merged(attribute: str) -> dict:
