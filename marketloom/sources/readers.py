@@ -61,7 +61,7 @@ def read_options_volume(spark: SparkSession, path: str, years: list[int] | None
 
 def read_put_call(spark: SparkSession, path: str, as_of: Column | None = None, days: int = 730) -> DataFrame:
     """Ratio file with two lines before the header, dates as D/M/Y; the last ``days`` up to ``as_of``."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     line = F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n"))
     row = lines.select(line.alias("n", "line")).filter("n > 2 and trim(line) <> ''")
     df = row.select(F.expr("try_to_timestamp(trim(split(line, ',')[0]), 'd/M/yyyy')").cast("date").alias("dt"), F.expr("try_cast(trim(split(line, ',')[1]) as double)").alias("pcr"))
