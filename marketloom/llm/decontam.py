@@ -24,6 +24,8 @@ from .common import checked, save, text_key
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "percent", "degrees", "dollars", "euros", "cents", "inches", "feet", "miles", "pounds", "kwh", "mph", "kmh", "usd", "eur")
 STRIP = ".,;:!?\"'()[]{}<>#$%&*+-/=@\\^_`|~«»“”‘’…–—¿¡€£"
 NAME, UNIT = "\u0002", "\u0003"
+#: Stands for a null id inside the operator.
+NO_ID = -(2**63)
 SLOTS = ("\u0001n", "\u0001q", "\u0001u", "\u0001p")
 
 
@@ -75,7 +77,7 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 4, min_run: int = 13) -> DataFrame:
     """Matches (doc_id, tkey, item_id, run_words, n_slots, changed): the longest consistent run of each pair."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
     items = benchmark.select("item_id", F.col("text").alias("text")).withColumn("item_words", words(F.col("text")))
     items = save(items.select("item_id", "item_words", F.transform("item_words", template).alias("item_tmpl")).filter(F.size("item_words") >= window).withColumn("item_key", F.xxhash64("item_id", "item_words")).dropDuplicates(["item_key"]), "items")
     spread = items.select("item_key", "item_tmpl", F.transform("item_tmpl", lambda w: F.xxhash64(w)).alias("hs"))
@@ -98,4 +100,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
     found = both.filter(consistent).select("doc_id", "tkey", "item_id", "run_words", F.size("slots").alias("n_slots"), changed.alias("changed"))
     best = F.max_by(F.struct("n_slots", "changed"), F.struct("run_words", -F.col("changed"))).alias("b")
-    return found.groupBy("doc_id", "tkey", "item_id").agg(F.max("run_words").alias("run_words"), best).select("doc_id", "tkey", "item_id", "run_words", "b.n_slots", "b.changed")
+    return found.groupBy("doc_id", "tkey", "item_id").agg(F.max("run_words").alias("run_words"), best).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "tkey", "item_id", "run_words", "b.n_slots", "b.changed")
