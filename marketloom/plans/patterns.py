@@ -226,3 +226,8 @@ def causal(spark, d):
 @query("p01_adaptive_window", sql_result([*MACRO_BASE, f"aw AS (SELECT dt, trunc({o.clip('60 * (1 - 0.25 * ' + o.clip('vix_z', -2, 2) + ')', 30, 90)})::INT AS win FROM feat)"], "aw", ["dt", "win"]))
 def window(spark, d):
     return macro_of(spark, d)[1].select("dt", lad.adaptive_window(F.col("vix_z")).alias("win"))
+
+
+@query("p24_macro_label", sql_result([*MACRO_BASE, "mlb AS (SELECT dt, CASE WHEN macro > 0.5 THEN 'RISK-ON' WHEN macro < -0.5 THEN 'RISK-OFF' ELSE 'NEUTRAL' END AS label FROM mac)"], "mlb", ["dt", "label"]))
+def macro_label(spark, d):
+    return m.macro_series(*macro_of(spark, d)).select("dt", lad.macro_label(F.col("macro")).alias("label"))

@@ -250,3 +250,8 @@ def series_gate(spark, d):
 def coverage(spark, d):
     need = spark.createDataFrame([(s,) for s in NEED], "symbol string")
     return g.coverage(b.market(spark, d), need)
+
+
+@query("a26_distinct_symbols_by_year", sql_result([o.market(), "ds AS (SELECT DISTINCT symbol, year(dt)::INT AS y FROM m_region WHERE close IS NOT NULL)"], "ds", ["symbol", "y"]))
+def distinct_symbols(spark, d):
+    return b.market(spark, d).filter("close is not null").select("symbol", F.year("dt").alias("y")).distinct()
