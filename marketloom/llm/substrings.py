@@ -32,8 +32,11 @@ from .blocks import groups, partitions, text_chunks
 from .common import drop, save, text_key
 
 GRAM = 6
+#: Finds that a task gathers before it sends them on (20 bytes each).
+FINDS = 2_000_000
 NO_ID = 2**63 - 1
 BLOCK = "bucket int, settled boolean, h binary, g binary, doc binary, pos binary, many binary, ids binary, keys binary"
+PART = "part int, ids binary, keys binary, counts binary, pos binary"
 FOUND = "doc_id bigint, tkey bigint, pos binary"
 _NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 _TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
@@ -135,8 +138,8 @@ def _extend(size: int, buckets: int):
             if len(c.h) < size:
                 continue
             edge = np.zeros(len(c.h) + 1, dtype=np.int64)
-            for i, parts in enumerate(table["seeds"].to_pylist()):
-                seeds = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in parts]).astype(np.int64)
+            for i, packed in enumerate(table["seeds"].to_pylist()):
+                seeds = np.frombuffer(packed, dtype=np.uint32).astype(np.int64)
                 np.add.at(edge, c.head[i] + np.maximum(seeds - (size - GRAM), 0), 1)
                 np.add.at(edge, c.head[i] + seeds + 1, -1)
             wanted = np.cumsum(edge)[: len(c.h)] > 0
@@ -150,18 +153,23 @@ def _extend(size: int, buckets: int):
     return run
 
 
-def _settle(by_least: bool):
-    """What each bucket finds: anchors of several documents, or windows that a smaller doc_id has."""
+def _settle(by_least: bool, parts: int):
+    """What each bucket finds: anchors of several documents, or windows that a smaller doc_id has; packed by the part
+    that the documents hash to."""
 
     def rows_of(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((keys, ids))
-        ids, keys, pos = ids[order], keys[order], pos[order]
+        part = (tk.mix(ids.view(np.uint64) * tk.STEP[0] + keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((keys, ids, part))
+        ids, keys, pos, part = ids[order], keys[order], pos[order], part[order]
         new = np.ones(len(ids), dtype=bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])
         heads = np.flatnonzero(new)
-        ends = [*heads[1:].tolist(), len(ids)]
-        parts = [pos[a:b].astype(np.uint32).tobytes() for a, b in zip(heads.tolist(), ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "tkey", "pos"])
+        counts = np.diff(np.append(heads, len(ids)))
+        found, first = np.unique(part[heads], return_index=True)
+        last = np.append(first[1:], len(heads))
+        cells = [(int(p), ids[heads[a:b]].tobytes(), keys[heads[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes(), pos[heads[a] : heads[b - 1] + counts[b - 1]].astype(np.uint32).tobytes()) for p, a, b in zip(found, first, last, strict=True)]
+        types = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], names=["part", "ids", "keys", "counts", "pos"])
 
     def unpack(rows: list[dict]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -173,11 +181,24 @@ def _settle(by_least: bool):
         return [np.concatenate(x) for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def keep(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # finds of many buckets share a row for each part, so rows grow with tasks and parts, not with buckets
+            nonlocal held, n
+            if len(ids):
+                held.append((ids, keys, pos))
+                n += len(ids)
+            if n >= FINDS or (n and not len(ids)):
+                yield rows_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, n = [], 0
+
         for _, rows in groups(batches, "bucket"):
             for r in rows:
                 if r["settled"]:
                     _, _, ids, keys, pos, _ = unpack([r | {"h": b"", "g": b"", "many": b""}])
-                    yield rows_of(ids, keys, pos)
+                    yield from keep(ids, keys, pos)
             rows = [r for r in rows if not r["settled"]]
             if not rows:
                 continue
@@ -194,22 +215,41 @@ def _settle(by_least: bool):
             else:
                 hit = ((low != high) | (np.maximum.reduceat(many, heads) > 0))[group] & (many == 0)
             if hit.any():
-                yield rows_of(ids[hit], keys[hit], pos[hit])
+                yield from keep(ids[hit], keys[hit], pos[hit])
+        yield from keep(*[np.zeros(0, dtype=np.int64)] * 3)
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document from the rows of a part."""
+    for _, rows in groups(batches, "part"):
+        counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.uint32) for r in rows]).astype(np.int64)
+        ids = np.repeat(np.concatenate([np.frombuffer(r["ids"], dtype=np.int64) for r in rows]), counts)
+        keys = np.repeat(np.concatenate([np.frombuffer(r["keys"], dtype=np.int64) for r in rows]), counts)
+        pos = np.concatenate([np.frombuffer(r["pos"], dtype=np.uint32) for r in rows])
+        order = np.lexsort((pos, keys, ids))
+        ids, keys, pos = ids[order], keys[order], pos[order]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (pos[1:] != pos[:-1])
+        ids, keys, pos = ids[new], keys[new], pos[new]
+        heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
+        packed = [pos[a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(ids)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "tkey", "pos"])
+
+
 def _found(blocks: DataFrame, by_least: bool, name: str) -> DataFrame:
-    dealt = blocks.repartition(partitions(blocks), "bucket").sortWithinPartitions("bucket")
-    return save(dealt.mapInArrow(_settle(by_least), FOUND), name, rows=64)
+    n = partitions(blocks)
+    dealt = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(by_least, 2 * n), PART)
+    return save(dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_gather, FOUND), name, rows=64)
 
 
 def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
-    """(doc_id, tkey, pos): packed first words of the windows that a smaller doc_id has, in parts; null ids as NO_ID."""
+    """(doc_id, tkey, pos): packed first words of the windows that a smaller doc_id has; null ids as NO_ID."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = 4 * partitions(docs)
     seeds = _found(own.mapInArrow(_anchors(size, buckets), BLOCK), False, "seeds")
-    held = seeds.groupBy("doc_id", "tkey").agg(F.collect_list("pos").alias("seeds"))
+    held = seeds.withColumnRenamed("pos", "seeds")
     near = own.join(held, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "seeds")
     out = _found(near.mapInArrow(_extend(size, buckets), BLOCK), True, "repeats")
     drop(seeds)
@@ -217,23 +257,23 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
 
 
 def with_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, text, and starts: packed first words of the repeated windows, in parts (null: none)."""
-    found = repeated_windows(docs, size).groupBy("doc_id", "tkey").agg(F.collect_list("pos").alias("starts"))
-    found = found.select(F.col("doc_id").alias("rep_id"), F.col("tkey").alias("rep_key"), "starts")
+    """doc_id, text, and starts: packed first words of the repeated windows (null: none)."""
+    found = repeated_windows(docs, size)
+    found = found.select(F.col("doc_id").alias("rep_id"), F.col("tkey").alias("rep_key"), F.col("pos").alias("starts"))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return own.join(found, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("rep_id")) & (text_key(F.col("text")) == F.col("rep_key")), "left").select("doc_id", "text", "starts")
 
 
-def maximal_repeats(starts: list[bytes] | None, size: int = 13) -> list[tuple[int, int]]:
+def maximal_repeats(starts: bytes | None, size: int = 13) -> list[tuple[int, int]]:
     """(first word, end word) of the maximal runs that the repeated windows cover."""
     if not starts:
         return []
-    at = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in starts])).astype(np.int64)
+    at = np.frombuffer(starts, dtype=np.uint32).astype(np.int64)
     cut = np.flatnonzero(at[1:] > at[:-1] + size) + 1
     return [(int(p[0]), int(p[-1]) + size) for p in np.split(at, cut)]
 
 
-def kept_words(text: str | None, starts: list[bytes] | None, size: int = 13) -> tuple[bytes, int, int]:
+def kept_words(text: str | None, starts: bytes | None, size: int = 13) -> tuple[bytes, int, int]:
     """The words that stay joined by one space (UTF-8), how many words there were, how many go."""
     words = (text or "").encode().split()
     n, removed = len(words), 0
