@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, save
@@ -175,13 +175,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies``: how often.  Equal rows share their copies evenly."""
     mix = mix_sources(docs, weights, cap).groupBy("doc_id", "unit").agg(F.sum("copies").alias("mix_sum"), F.count("*").alias("mix_n"))
-    unit = F.xxhash64("doc_id", "text")
-    own = docs.withColumn("mix_unit", unit).withColumn("mix_id", F.col("doc_id"))
-    mix = mix.withColumnRenamed("doc_id", "mix_key").withColumnRenamed("unit", "mix_key_unit")
-    both = own.join(mix, (F.col("mix_unit") == F.col("mix_key_unit")) & F.col("mix_id").eqNullSafe(F.col("mix_key")))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("mix_unit", "mix_key").orderBy("mix_n"))
+    known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    own = docs.withColumn("mix_unit", F.xxhash64("doc_id", "text")).withColumn("mix_id", known)
+    mix = mix.withColumn("mix_key", known).withColumnRenamed("unit", "mix_key_unit").drop("doc_id")
+    both = own.join(mix, (F.col("mix_unit") == F.col("mix_key_unit")) & (F.col("mix_id") == F.col("mix_key")))
+    # the join's own keys, so the texts move once
+    nth = F.row_number().over(Window.partitionBy("mix_unit", "mix_id").orderBy("mix_n"))
     rank = F.when(F.col("mix_n") == 1, F.lit(1)).otherwise(nth)
     copies = (F.floor(F.col("mix_sum") / F.col("mix_n")) + (rank <= F.col("mix_sum") % F.col("mix_n")).cast("int")).cast("int")
     return both.withColumn("mix_copies", copies).filter("mix_copies > 0").select(*docs.columns, F.col("mix_copies").alias("copies"))
