@@ -5,14 +5,17 @@ sequence is one shingle; without words it is empty and links with nothing.
 
 1. Equal sets form one class (by a 128-bit digest), so copies cost one row each and no pairs.
 2. ``bands`` x ``rows`` MinHash values of each class are banded; the members of a band's bucket are paired with its
-   least member only (a star), never all with all.
+   least member only (a star), never all with all, where the sorted rows of the bucket stream by.
 3. A pair is verified in batches of 32 one-byte signature parts: after each batch it is dropped if the posterior
-   probability that its similarity reaches the threshold is below ``miss``.  Survivors are confirmed on full sets.
+   probability that its similarity reaches the threshold is below ``miss``.  Only survivors leave the task; they are
+   confirmed on full sets.
 4. Components over the confirmed links.  Buckets whose members then lie in more than one component are compared in
    full, in blocks of at most ``block`` members, with the same Bayesian test, for pairs across components; what
    survives is confirmed too.  So no candidate pair that could still join two components is skipped.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is never a candidate with probability (1 - 0.75**4)**32 = 5e-6.
+Signatures have ``size`` parts, of which the bands use the first ones; all serve the Bayesian test, whose survivors are
+then mostly above 0.66.
 
 Defined cases: a null text is empty; rows with a null id join no class and keep a null component_id, kept; rows that
 share an id are one vertex; repeated rows repeat; an empty table gives an empty result; extra columns are ignored.
@@ -34,9 +37,11 @@ from .common import checked, drop, save, text_key
 from .graph import connected_components
 
 BATCH = 32
+#: Large buckets up to which their list (bounded, a number each) goes into the plan; beyond, a join finds them.
+LARGE = 20_000
 _RNG = np.random.Generator(np.random.PCG64(77))
-_XOR = _RNG.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)
-_MUL = (_RNG.integers(0, 2**31, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+_XOR = _RNG.integers(0, 2**32, 2048, dtype=np.uint64).astype(np.uint32)
+_MUL = (_RNG.integers(0, 2**31, 2048, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 SIGNED = "doc_id bigint, tkey bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary"
 
 
@@ -72,21 +77,21 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     for i in range(size):
         y = (x ^ _XOR[i]) * _MUL[i]
         y ^= y >> np.uint32(15)
-        y *= _MUL[i + 512]
+        y *= _MUL[i + 1024]
         out[i] = np.minimum.reduceat(y, heads)
     return np.ascontiguousarray(out.T)
 
 
-def _sign(words: int, bands: int, rows: int):
+def _sign(words: int, bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SIGNED.split(", ")]
         for batch in batches:
             for first, sets in shingle_sets(batch.column(2), words):
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig = signatures([sets[i] for i in full], bands * rows)
+                sig = signatures([sets[i] for i in full], size)
                 keys = np.zeros((len(full), bands), dtype=np.uint64)
                 for r in range(rows):
-                    keys += sig[:, r::rows].astype(np.uint64) * tk.STEP[r]
+                    keys += sig[:, r : bands * rows : rows].astype(np.uint64) * tk.STEP[r]
                 keys = tk.mix(keys + tk.STEP2[np.arange(bands) % 64] * np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
                 low = (sig & np.uint32(255)).astype(np.uint8)
                 at = dict(zip(full, range(len(full)), strict=True))
@@ -127,15 +132,62 @@ def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
     return live
 
 
-def _bytes(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, size)
+def _fixed(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of a binary column whose values all have ``size`` bytes."""
+    if not len(column):
+        return np.zeros((0, size), dtype=np.uint8)
+    _, _, data = column.buffers()
+    return np.frombuffer(data, dtype=np.uint8)[column.offset * size : (column.offset + len(column)) * size].reshape(-1, size)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Digest pairs, the lesser first."""
+    x, y = [r.tobytes() for r in a], [r.tobytes() for r in b]
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(x, y, strict=True)], pa.binary()), pa.array([max(p) for p in zip(x, y, strict=True)], pa.binary())], names=["a", "b"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (bucket, digest) of a sorted stream whose bucket has another row."""
+    held: pa.RecordBatch | None = None  # the last row, of which the bucket may go on
+    held_shared = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        shared = np.zeros(len(key), dtype=bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        if held is not None:
+            meets = held.column(0)[0].as_py() == key[0]
+            shared[0] |= meets
+            if held_shared or meets:
+                yield held
+        yield batch.slice(0, len(key) - 1).filter(pa.array(shared[:-1]))
+        held, held_shared = batch.slice(len(key) - 1, 1), bool(shared[-1])
+    if held is not None and held_shared:
+        yield held
+
+
+def _stars(least: tuple[int, ...], size: int):
+    """Pairs of a bucket's first row with its others that pass the Bayesian test, streamed over sorted rows."""
 
-
-def _prune(least: tuple[int, ...], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, hub, hub_sig = None, np.zeros((1, 16), dtype=np.uint8), np.zeros((1, size), dtype=np.uint8)
         for batch in batches:
-            keep = alike(_bytes(batch.column(2), size), _bytes(batch.column(3), size), least) if batch.num_rows else []
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            digest, sig = _fixed(batch.column(1), 16), _fixed(batch.column(2), size)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = last_key is None or key[0] != last_key
+            hubs, hub_sigs = np.concatenate([hub, digest[new]]), np.concatenate([hub_sig, sig[new]])
+            of = np.cumsum(new)
+            rest = np.flatnonzero(~new)
+            hit = rest[alike(hub_sigs[of[rest]], sig[rest], least)]
+            yield _pairs(hubs[of[hit]], digest[hit])
+            last_key, hub, hub_sig = key[-1], hubs[-1:].copy(), hub_sigs[-1:].copy()
 
     return run
 
@@ -188,69 +240,91 @@ CROSS = "a binary, b binary"
 
 
 def _cross(least: tuple[int, ...], size: int):
-    """Pairs across components in sorted (bucket, block) groups; a group holds at most two blocks of members."""
-
-    def pairs(key: int, x: int, y: int, rows: list) -> pa.RecordBatch:
-        side = np.array([r[0] for r in rows])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, size)
-        label = np.unique([r[2] for r in rows], return_inverse=True)[1]
-        ids = [r[1] for r in rows]
-        first = np.flatnonzero(side == x)
-        second = np.flatnonzero(side == y)
-        out: list[tuple[bytes, bytes]] = []
+    """Pairs across components in sorted (bucket, x, y) groups, each at most two blocks of a bucket.
+
+    Rows: bucket, x, y, own block, digest, root, sig.  Only groups of several components are looked at.
+    """
+
+    def group(x: int, y: int, own: np.ndarray, digest: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, second = np.flatnonzero(own == x), np.flatnonzero(own == y)
         for i in first:
             others = second[second > i] if x == y else second
             others = others[label[others] != label[i]]
             if len(others):
                 hit = others[alike(np.broadcast_to(sig[i], (len(others), size)), sig[others], least)]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in hit]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
+                if len(hit):
+                    yield _pairs(np.broadcast_to(digest[i], (len(hit), 16)), digest[hit])
+
+    def whole(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, x, y, own, digest, label, sig = (np.concatenate(c) for c in zip(*held, strict=True))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        heads = np.flatnonzero(new)
+        ends = np.append(heads[1:], len(key))
+        mixed = (np.minimum.reduceat(label, heads) != np.maximum.reduceat(label, heads)) & (ends - heads > 1)
+        for a, b in zip(heads[mixed].tolist(), ends[mixed].tolist(), strict=True):
+            yield from group(int(x[a]), int(y[a]), own[a:b], digest[a:b], label[a:b], sig[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        held: list[tuple] = []
         for batch in batches:
-            for key, x, y, own, digest, label, sig in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (key, x, y) != now:
-                    if len(rows) > 1:
-                        yield pairs(*now, rows)
-                    now, rows = (key, x, y), []
-                rows.append((own, digest, label, sig))
-        if len(rows) > 1:
-            yield pairs(*now, rows)
+            if not batch.num_rows:
+                continue
+            key, x, y, own = (batch.column(i).to_numpy() for i in range(4))
+            label = np.ascontiguousarray(_fixed(batch.column(5), 16)[:, :8]).view(np.int64).ravel()
+            row = (key, x, y, own, _fixed(batch.column(4), 16), label, _fixed(batch.column(6), size))
+            # the last group may go on: keep it back
+            same = (key == key[-1]) & (x == x[-1]) & (y == y[-1])
+            cut = int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                held.append(tuple(c[: len(key) - cut] for c in row))
+                yield from whole(held)
+                held = [tuple(c[len(key) - cut :].copy() for c in row)]
+            else:
+                held.append(tuple(c.copy() for c in row))
+        if held:
+            yield from whole(held)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (75, 100), bands: int = 32, rows: int = 4, miss: float = 1e-6, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (75, 100), bands: int = 32, rows: int = 4, size: int = 512, miss: float = 1e-6, block: int = 256) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id linked, itself included), kept."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    size = bands * rows
     least = least_matches(share[0] / share[1], size, miss)
-    signed = save(docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "text").mapInArrow(_sign(words, bands, rows), SIGNED), "signed")
+    signed = save(docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "text").mapInArrow(_sign(words, bands, rows, size), SIGNED), "signed")
     real = signed.filter("doc_id is not null and n_shingles > 0")
     # equal sets are one class; ids in two classes (a repeated id) tie these together as one vertex would
     classes = save(real.groupBy("digest").agg(F.min_by(F.struct("doc_id", "tkey", "bands", "sig"), "doc_id").alias("r"), F.count("*").alias("copies")).select("digest", "copies", "r.doc_id", "r.tkey", "r.bands", "r.sig"), "classes")
-    banded = classes.select(F.explode("bands").alias("bucket"), "digest")
-    hubs = banded.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = save(banded.join(hubs, "bucket"), "buckets", rows=10000)
-    sig_a = classes.select(F.col("digest").alias("a"), F.col("sig").alias("sa"))
-    sig_b = classes.select(F.col("digest").alias("b"), F.col("sig").alias("sb"))
-    stars = members.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-    stars = stars.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(least, size), CROSS)
-    links = _confirmed(stars, classes, docs, words, share)
+    # only buckets with company matter; the signature goes with each of these bands, so a bucket's pairs are tested
+    # where its rows meet and are never joined
+    sorted_bands = classes.select(F.explode("bands").alias("bucket"), "digest").repartition("bucket").sortWithinPartitions("bucket")
+    company = sorted_bands.mapInArrow(_shared, "bucket bigint, digest binary").groupBy("digest").agg(F.collect_list("bucket").alias("buckets"))
+    members = save(company.join(classes.select("digest", "sig"), "digest"), "company", rows=10000)
+    banded = members.select(F.explode("buckets").alias("bucket"), "digest", "sig").repartition("bucket").sortWithinPartitions("bucket", "digest")
+    links = _confirmed(save(banded.mapInArrow(_stars(least, size), CROSS), "stars", rows=4000), classes, docs, words, share)
     shared = real.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
     shared = real.select("doc_id", F.col("digest").alias("b")).join(shared.select("doc_id", "a"), "doc_id").filter("a <> b").select("a", "b")
     links = save(links.unionByName(shared).distinct(), "links")
     label = connected_components(links)
-    # buckets of three or more whose members still lie in several components: every pair across them is tried
-    named = members.filter("n > 2 and digest <> hub").join(label.withColumnRenamed("v", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = save(named.select("bucket", "digest", "root"), "named", rows=10000)
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
-    dealt = named.join(mixed.select("bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "bucket").join(classes.select("digest", "sig"), "digest")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # buckets whose members still lie in several components: every pair across them is tried
+    named = members.join(label.withColumnRenamed("v", "digest"), "digest", "left")
+    named = named.select(F.explode("buckets").alias("bucket"), "digest", F.coalesce("root", "digest").alias("root"), "sig")
+    large = members.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    large = save(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
+    if (n_large := large.count()) <= LARGE:
+        # a list of bounded length: rows of other buckets need no join
+        keys = [r["bucket"] for r in large.select("bucket").collect()] if n_large else []
+        dealt = named.filter(~F.col("bucket").isin(keys)).withColumn("blocks", F.lit(1)) if keys else named.withColumn("blocks", F.lit(1))
+        if keys:
+            dealt = dealt.unionByName(named.filter(F.col("bucket").isin(keys)).join(F.broadcast(large), "bucket"))
+    else:
+        dealt = named.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "digest", "root", "sig")
     dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    more = _confirmed(dealt.mapInArrow(_cross(least, size), CROSS), classes, docs, words, share)
+    more = _confirmed(save(dealt.mapInArrow(_cross(least, size), CROSS), "crossing", rows=4000), classes, docs, words, share)
     if not more.isEmpty():
         label = connected_components(label.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")).unionByName(more))
     # ids: the least doc_id of the component, through the least of each class
