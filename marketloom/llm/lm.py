@@ -37,6 +37,8 @@ from .common import save, small_batches
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 40
 CELL_TOKENS = 2_000_000
+#: Word counts that a task packs at once.
+WORDS = 1 << 20
 COUNTS = "w bigint, c bigint, o bigint"
 BLOCK = "cell int, kind int, chunk bigint, a binary, b binary, c binary, d binary, e binary"
 _NAMES = [x.split()[0] for x in BLOCK.split(", ")]
@@ -167,21 +169,27 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
 def _word_blocks(side: int):
     """Each slice of the word counts, once for every cell of its row and of its column."""
 
+    def slices(w: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
+        part = _part(w, side)
+        for k in range(side):
+            at = part == k
+            if at.any():
+                order = np.argsort(w[at])
+                a, b = _z(w[at][order], np.uint64), _z(c[at][order], np.uint64)
+                for j in range(side):
+                    yield (k * side + j, WORD_ROW, 0, a, b, b"", b"", b"")
+                    yield (j * side + k, WORD_COLUMN, 0, a, b, b"", b"", b"")
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w = batch.column(0).to_numpy().view(np.uint64)
-            c = batch.column(1).to_numpy()
-            part = _part(w, side)
-            for k in range(side):
-                at = part == k
-                if at.any():
-                    order = np.argsort(w[at])
-                    a, b = _z(w[at][order], np.uint64), _z(c[at][order], np.uint64)
-                    for j in range(side):
-                        yield (k * side + j, WORD_ROW, 0, a, b, b"", b"", b"")
-                        yield (j * side + k, WORD_COLUMN, 0, a, b, b"", b"", b"")
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= WORDS:
+                yield from slices(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from slices(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return lambda batches: _batches(rows(batches))
 
