@@ -41,9 +41,9 @@ def holdings(spark, d):
     return b.trades(spark, d, "stock").select("symbol").distinct().withColumn("sector", F.substring_index("symbol", "|", 1))
 
 
-@query("r24_rsi", sql_result([STOCKS, f"rs0 AS (SELECT *, close - lag(close) OVER ({W}) AS dd FROM m_stock)", o.ewm("rs0", "rs1", "CASE WHEN dd IS NOT NULL THEN greatest(dd, 0) END", "ag", decay_of(alpha=1 / 14), 14), o.ewm("rs1", "rs2", "CASE WHEN dd IS NOT NULL THEN -least(dd, 0) END", "al", decay_of(alpha=1 / 14), 14), "rs AS (SELECT symbol, dt, 100 - 100 / (1 + ag / (al + 1e-9)) AS rsi FROM rs2 WHERE symbol LIKE '%#1')"], "rs", ["symbol", "dt"], ["rsi"]))
+@query("r24_rsi", sql_result([STOCKS, f"rs0 AS (SELECT *, close - lag(close) OVER ({W}) AS dd FROM m_stock)", o.ewm("rs0", "rs1", "CASE WHEN dd IS NOT NULL THEN greatest(dd, 0) END", "ag", decay_of(alpha=1 / 14), 14), o.ewm("rs1", "rs2", "CASE WHEN dd IS NOT NULL THEN -least(dd, 0) END", "al", decay_of(alpha=1 / 14), 14), "rs AS (SELECT symbol, dt, 100 - 100 / (1 + ag / (al + 1e-9)) AS rsi FROM rs2)"], "rs", ["symbol", "dt"], ["rsi"]))
 def rsi(spark, d):
-    return result(ld.rsi(stocks(spark, d).filter(F.col("symbol").endswith("#1"))), ["symbol", "dt"], ["rsi"])
+    return result(ld.rsi(stocks(spark, d)), ["symbol", "dt"], ["rsi"])
 
 
 SERIES = [
