@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.primitives import decay_of, ordered
@@ -93,16 +96,16 @@ def leaders(spark, d):
     return result(ld.leaders(ld.leadership(ld.stock_metrics(series(spark, d)), ["sector"]), ["sector"]), *LEADERS)
 
 
-# the log that validation reads: momentum over 8 weeks as the score, every fourth week, per type and brand
+# the log that validation reads: momentum over 8 weeks as the score, every week that has it, per type and brand
 LOG = [
-    f"lo0 AS (SELECT symbol, split_part(symbol, '|', 1) AS sector, dt, close / nullif(lag(close, 8) OVER ({W}), 0) - 1 AS wls, row_number() OVER ({W}) AS k FROM m_stock)",
-    "lo AS (SELECT symbol, sector, dt, wls FROM lo0 WHERE k % 4 = 0 AND wls IS NOT NULL AND dt >= DATE '2000-01-01')",
+    f"lo0 AS (SELECT symbol, split_part(symbol, '|', 1) AS sector, dt, close / nullif(lag(close, 8) OVER ({W}), 0) - 1 AS wls FROM m_stock)",
+    "lo AS (SELECT symbol, sector, dt, wls FROM lo0 WHERE wls IS NOT NULL)",
 ]
 
 
 def log(spark, d):
-    df = stocks(spark, d).select("symbol", F.substring_index("symbol", "|", 1).alias("sector"), "dt", (F.col("close") / F.nullif(F.lag("close", 8).over(ordered()), F.lit(0.0)) - 1).alias("wls"), F.row_number().over(ordered()).alias("k"))
-    return df.filter("k % 4 = 0 and wls is not null and dt >= date '2000-01-01'").drop("k")
+    df = stocks(spark, d).select("symbol", F.substring_index("symbol", "|", 1).alias("sector"), "dt", (F.col("close") / F.nullif(F.lag("close", 8).over(ordered()), F.lit(0.0)) - 1).alias("wls"))
+    return df.filter("wls is not null")
 
 
 def fwd(src: str, out: str, h: int, col: str) -> str:
@@ -114,32 +117,45 @@ def forward(spark, d):
     return result(ld.forward_returns(stocks(spark, d), 5), ["symbol", "dt"], ["ret_fwd"])
 
 
-def evaluate_sql(extra: str, h: int) -> list[str]:
+HORIZONS = (5, 20, 60)
+
+
+def evaluate_sql(extra: str) -> list[str]:
     first = f"{extra}, " if extra else ""
     group = f"GROUP BY {extra}" if extra else ""
-    return [
-        fwd("m_stock", "f1", h, "ret_fwd"),
-        fwd("bars_sector", "f2", h, "ret_etf"),
+    out = [
         f"ev0 AS (SELECT *, row_number() OVER (PARTITION BY {first}dt, sector ORDER BY wls DESC NULLS LAST, symbol) AS place FROM lb)",
-        "ev1 AS (SELECT ev0.*, ret_fwd, ret_etf, ret_fwd - ret_etf AS rel FROM ev0 LEFT JOIN f1 USING (symbol, dt) LEFT JOIN f2 ON f2.symbol = ev0.sector AND f2.dt = ev0.dt WHERE place <= 3 AND ret_fwd IS NOT NULL)",
-        f"ev AS (SELECT {first}count(*)::BIGINT AS observations, avg(CASE WHEN ret_fwd > 0 THEN 1 ELSE 0 END) AS hit_rate, CASE WHEN count(rel) > 0 THEN avg(CASE WHEN rel > 0 THEN 1 ELSE 0 END) END AS hit_rate_relative, avg(rel) AS alpha, avg(ret_fwd) AS mean_return, avg(ret_etf) AS mean_etf_return FROM ev1 {group})",
     ]
+    for h in HORIZONS:
+        out += [
+            fwd("m_stock", f"f1_{h}", h, "ret_fwd"),
+            fwd("bars_sector", f"f2_{h}", h, "ret_etf"),
+            f"ev1_{h} AS (SELECT ev0.*, ret_fwd, ret_etf, ret_fwd - ret_etf AS rel FROM ev0 LEFT JOIN f1_{h} USING (symbol, dt) LEFT JOIN f2_{h} f2 ON f2.symbol = ev0.sector AND f2.dt = ev0.dt WHERE place <= 3 AND ret_fwd IS NOT NULL)",
+            f"ev_{h} AS (SELECT {first}{h}::INT AS horizon, count(*)::BIGINT AS observations, avg(CASE WHEN ret_fwd > 0 THEN 1 ELSE 0 END) AS hit_rate, CASE WHEN count(rel) > 0 THEN avg(CASE WHEN rel > 0 THEN 1 ELSE 0 END) END AS hit_rate_relative, avg(rel) AS alpha, avg(ret_fwd) AS mean_return, avg(ret_etf) AS mean_etf_return FROM ev1_{h} {group})",
+        ]
+    return [*out, "ev AS (" + " UNION ALL ".join(f"SELECT * FROM ev_{h}" for h in HORIZONS) + ")"]
+
+
+def evaluated(spark, d, logged, extra=()):
+    """A row (a bucket) for each horizon."""
+    each = [ld.evaluate(logged, stocks(spark, d), sectors(spark, d), h, extra).withColumn("horizon", F.lit(h)) for h in HORIZONS]
+    return result(reduce(DataFrame.unionByName, each), [*extra, "horizon", "observations"], EVAL)
 
 
 CAPS = "cap AS (SELECT symbol, CASE WHEN max(volume) IS NULL THEN 'Unknown' WHEN max(volume) * 100 > 50000 THEN 'Large' WHEN max(volume) * 100 > 10000 THEN 'Mid' ELSE 'Small' END AS bucket FROM bars_stock GROUP BY symbol)"
 EVAL = ["hit_rate", "hit_rate_relative", "alpha", "mean_return", "mean_etf_return"]
 
 
-@query("a21_evaluate_horizon", sql_result([STOCKS, SECTORS, *LOG, "lb AS (SELECT * FROM lo)", *evaluate_sql("", 5)], "ev", ["observations"], EVAL))
+@query("a21_evaluate_horizon", sql_result([STOCKS, SECTORS, *LOG, "lb AS (SELECT * FROM lo)", *evaluate_sql("")], "ev", ["horizon", "observations"], EVAL))
 def evaluate(spark, d):
-    return result(ld.evaluate(log(spark, d), stocks(spark, d), sectors(spark, d), 5), ["observations"], EVAL)
+    return evaluated(spark, d, log(spark, d))
 
 
-@query("a22_p37_j8_evaluate_buckets", sql_result([STOCKS, SECTORS, *LOG, CAPS, "lb AS (SELECT lo.*, bucket FROM lo JOIN cap USING (symbol))", *evaluate_sql("bucket", 20)], "ev", ["bucket", "observations"], EVAL))
+@query("a22_p37_j8_evaluate_buckets", sql_result([STOCKS, SECTORS, *LOG, CAPS, "lb AS (SELECT lo.*, bucket FROM lo JOIN cap USING (symbol))", *evaluate_sql("bucket")], "ev", ["bucket", "horizon", "observations"], EVAL))
 def evaluate_buckets(spark, d):
     bars = b.weekly_bars(b.daily_bars(b.trades(spark, d, "stock")))
     caps = ld.buckets(bars.groupBy("symbol").agg((F.max("volume") * 100).alias("cap_musd")))
-    return result(ld.evaluate(log(spark, d).join(caps, "symbol"), stocks(spark, d), sectors(spark, d), 20, ("bucket",)), ["bucket", "observations"], EVAL)
+    return evaluated(spark, d, log(spark, d).join(caps, "symbol"), ("bucket",))
 
 
 TURN = [

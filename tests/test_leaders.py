@@ -1,4 +1,4 @@
-"""Registered leader queries on hand-made trades against plain Python: every symbol."""
+"""Registered leader queries on hand-made trades against plain Python: every symbol, week and horizon."""
 
 import collections
 import datetime as dt
@@ -59,3 +59,56 @@ def test_rsi_of_every_symbol(spark, market):
     want = {(s, i): v for s, c in closes.items() for i, v in enumerate(wilder(c))}
     assert len(closes) == len(PARTS) and set(got) == set(want)
     assert all(got[k] == (None if v is None else pytest.approx(v, abs=2e-6)) for k, v in want.items())
+
+
+def logged(closes):
+    """{(sector, week): [(score, symbol), best first]} over every week that has the 8-week score."""
+    out = collections.defaultdict(list)
+    for s, c in closes.items():
+        for i in range(8, len(c)):
+            if c[i - 8] is not None:
+                out[s.split("|")[0], i].append((c[i] / c[i - 8] - 1, s))
+    return {k: sorted(v, key=lambda x: (-x[0], x[1])) for k, v in out.items()}
+
+
+def ranks(values):
+    return [sum(y < x for y in values) + (sum(y == x for y in values) + 1) / 2 for x in values]
+
+
+def corr(a, b):
+    a, b = [x - sum(a) / len(a) for x in a], [x - sum(b) / len(b) for x in b]
+    return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+
+def test_evaluation_of_every_week_and_horizon(spark, market):
+    folder, closes = market
+    log = logged(closes)
+    got = {r["horizon"]: r for r in registry.queries()["a21_evaluate_horizon"](spark, folder).collect()}
+    assert set(got) == {5, 20, 60}
+    by_bucket = collections.defaultdict(int)
+    for r in registry.queries()["a22_p37_j8_evaluate_buckets"](spark, folder).collect():
+        by_bucket[r["horizon"]] += r["observations"]
+    for h, r in got.items():
+        returns = [closes[s][i + h] / closes[s][i] - 1 for (_, i), day in log.items() for _, s in day[:3] if i + h < 90]
+        assert r["observations"] == len(returns)
+        assert r["mean_return"] == pytest.approx(sum(returns) / len(returns), abs=2e-6)
+        assert r["hit_rate"] == pytest.approx(sum(x > 0 for x in returns) / len(returns), abs=2e-6)
+        # all fixture symbols are small, so the one bucket ranks the same top
+        assert by_bucket[h] == len(returns)
+
+
+def test_turnover_and_persistence_of_every_week(spark, market):
+    folder, closes = market
+    log = logged(closes)
+    turn, rho = [], []
+    for sector in {s for s, _ in log}:
+        weeks = sorted(i for s, i in log if s == sector)
+        for before, now in zip(weeks, weeks[1:], strict=False):
+            old, new = ({s for _, s in log[sector, i][:3]} for i in (before, now))
+            turn.append(1 - len(old & new) / len(new))
+            a, b = ({s: v for v, s in log[sector, i]} for i in (before, now))
+            both = sorted(a.keys() & b.keys())
+            if len(both) >= 3:
+                rho.append(corr(ranks([a[s] for s in both]), ranks([b[s] for s in both])))
+    assert registry.queries()["a23_j9_turnover"](spark, folder).collect()[0]["turnover"] == pytest.approx(sum(turn) / len(turn), abs=2e-6)
+    assert registry.queries()["a24_rank_persistence"](spark, folder).collect()[0]["rank_persistence"] == pytest.approx(sum(rho) / len(rho), abs=2e-6)
