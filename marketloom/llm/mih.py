@@ -13,11 +13,14 @@ radius; where the near values outnumber the values in use, the latter are compar
 retrieved is filtered by the whole code and ranked by inner products of the original vectors, in double precision,
 added from the first component on, so equal vectors tie exactly.
 
-The query set meets the index block by block; a block returns its best ``k`` a query.
+The query set meets the index block by block; a block returns its best ``k`` a query.  Queries that have found fewer
+than ``k`` (or than there are candidates) meet all blocks again, and there each block widens the radius until it has
+as many or has compared all its rows.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite components take no
-part, nor do rows without an id; equal rows count once; a query's own id is no candidate; fewer than ``k`` candidates
-are all returned; an empty table gives an empty result; extra columns are ignored.
+part, nor do rows without an id; equal rows count once; rows that share an id count as the best of them; a query's own
+id is no candidate; fewer than ``k`` candidates are all returned; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 SUB = 16
+#: Bits by which a radius widens.
+STEP = 8
 PACKED = "block int, ids binary, vectors binary, codes binary"
 HITS = "query_id bigint, vec_id bigint, score double"
 _ONES = np.array([bin(i).count("1") for i in range(1 << SUB)], dtype=np.uint8)
@@ -95,6 +100,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray) -> None:
         self.ids, self.columns, self.codes = ids, np.ascontiguousarray(vectors.T), codes
+        self.single = len(np.unique(ids)) == len(ids)
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
         self.values, self.starts = [], []
         for j, o in enumerate(self.order):
@@ -123,19 +129,27 @@ class Block:
         rows = np.flatnonzero(seen)
         return rows[_ONES[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64) <= radius]
 
-    def best(self, query_id: int, query: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.within(code, radius)
-        rows = rows[self.ids[rows] != query_id]
+    def best(self, query_id: int, query: np.ndarray, code: np.ndarray, radius: int, k: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` ids within the radius, which widens until it holds ``least`` ids or is all bits."""
+        while True:
+            rows = self.within(code, radius)
+            rows = rows[self.ids[rows] != query_id]
+            if radius >= SUB * len(code) or len(rows if self.single else np.unique(self.ids[rows])) >= least:
+                break
+            radius += STEP
         score = np.zeros(len(rows))
         for c, x in zip(self.columns, query, strict=True):
             score += c[rows] * x
+        if not self.single:
+            order = np.lexsort((-score, self.ids[rows]))
+            rows, score = rows[order], score[order]
+            first = np.append(True, self.ids[rows][1:] != self.ids[rows][:-1])[: len(rows)]
+            rows, score = rows[first], score[first]
         if len(rows) > k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             rows, score = rows[keep], score[keep]
-        order = np.lexsort((self.ids[rows], -score))
-        ids, score = self.ids[rows][order], score[order]
-        first = np.append(True, ids[1:] != ids[:-1])[: len(ids)]
-        return ids[first][:k], score[first][:k]
+        order = np.lexsort((self.ids[rows], -score))[:k]
+        return self.ids[rows][order], score[order]
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -157,7 +171,7 @@ def _open(row: dict, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["vectors"]).reshape(-1, size), np.frombuffer(row["codes"], dtype=np.uint16).reshape(len(ids), -1)
 
 
-def _search(radius: int, size: int, k: int):
+def _search(radius: int, size: int, k: int, least: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, Block] | None = None
         for batch in batches:
@@ -165,7 +179,7 @@ def _search(radius: int, size: int, k: int):
                 if held is None or held[0] != row["block"]:
                     held = (row["block"], Block(*_open(row, size)))
                 ids, vectors, codes = _open({"ids": row["q_ids"], "vectors": row["q_vectors"], "codes": row["q_codes"]}, size)
-                out = [held[1].best(int(q), v, c, radius, k) for q, v, c in zip(ids, vectors, codes, strict=True)]
+                out = [held[1].best(int(q), v, c, radius, k, least) for q, v, c in zip(ids, vectors, codes, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(o[0]) for o in out])), pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], names=["query_id", "vec_id", "score"])
 
     return run
@@ -188,18 +202,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 128,
     drawn = drawn.sort_by("vec_id").slice(0, 2 * sample)
     x = _matrix(drawn["embedding"].combine_chunks(), size)
     codes = Codes(x, math.sqrt(lengths[0]["square"]), bits, reach, k)
-    blocks, q_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(asked / query_block))
+    blocks = max(1, math.ceil(n / block))
 
     def packed(rows: DataFrame, count: int, query: bool, name: str) -> DataFrame:
         dealt = rows.select(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(count)).cast("int").alias("block"), "vec_id", "embedding")
         return save(dealt.groupBy("block").applyInArrow(_pack(codes, size, query), PACKED), name, rows=10000)
 
     index = packed(own, blocks, False, "index")
-    queries = packed(own.filter(is_query), q_blocks, True, "queries")
-    # the stated query set, block by block, against every block of the index
-    sent = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("codes").alias("q_codes"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = sent.join(index, "block").repartition(min(blocks * q_blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), "block", "q_block").sortWithinPartitions("block")
-    pairs = pairs.select("block", "ids", "vectors", "codes", "q_ids", "q_vectors", "q_codes")
-    hits = save(pairs.mapInArrow(_search(codes.radius, size, k), HITS), "hits", rows=1)
+
+    def searched(rows: DataFrame, count: int, least: int, name: str) -> DataFrame:
+        """The given queries, block by block, against every block of the index."""
+        q_blocks = max(1, math.ceil(count / query_block))
+        queries = packed(rows, q_blocks, True, f"{name}_queries")
+        sent = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("codes").alias("q_codes"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = sent.join(index, "block").repartition(min(blocks * q_blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), "block", "q_block").sortWithinPartitions("block")
+        pairs = pairs.select("block", "ids", "vectors", "codes", "q_ids", "q_vectors", "q_codes")
+        return save(pairs.mapInArrow(_search(codes.radius, size, k, least), HITS), name, rows=1)
+
+    asking = own.filter(is_query)
+    hits = searched(asking, asked, 0, "hits")
+    # queries with too few hits, or none, go again with a radius that widens
+    least = min(k, own.select("vec_id").distinct().limit(k + 1).count() - 1)
+    found = hits.select("query_id", "vec_id").distinct().groupBy("query_id").count().filter(F.col("count") >= least).select(F.col("query_id").alias("vec_id"))
+    short = save(asking.join(found, "vec_id", "left_anti").select("vec_id", "embedding"), "short")
+    again = short.count() if least else 0
+    if again:
+        hits = hits.union(searched(short, again, least, "more_hits"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
