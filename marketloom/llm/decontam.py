@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts become templates: numbers, number-unit words, units after a number, and names (a capitalised word inside a
-sentence) turn into typed placeholders; other words are lower-cased and lose punctuation.  Windows of ``window``
+Texts become templates: numbers, number-unit words, units after a number, and names (a capitalised word) turn into
+typed placeholders; other words are lower-cased and lose punctuation.  A capitalised word may be a name or not, so an
+item's window stands for every choice among its own, and a document's window is looked up with all of them as names,
+with those inside a sentence as names, and with none (nor units).  Windows of ``window``
 template words, ``literal`` of which at least are plain words, are hashed and joined with the benchmark's windows (a
 broadcast hash join while the benchmark's table is small, a shuffle join beyond).  Hits on one alignment merge into
 runs.  A run counts if it covers ``min_run`` words or the whole item, and if its slots are consistent: an item's value
@@ -23,16 +25,19 @@ from .common import checked, save, text_key
 # Unit words that become a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "percent", "degrees", "dollars", "euros", "cents", "inches", "feet", "miles", "pounds", "kwh", "mph", "kmh", "usd", "eur")
 STRIP = ".,;:!?\"'()[]{}<>#$%&*+-/=@\\^_`|~«»“”‘’…–—¿¡€£"
-NAME, UNIT = "\u0002", "\u0003"
+PUNCT = r"[!-/:-@\[-`{-~«»“”‘’…–—¿¡€£]"
+#: A capitalised word inside a sentence, a unit after a number, any other capitalised word.
+NAME, UNIT, START = "\u0002", "\u0003", "\u0004"
 #: Stands for a null id inside the operator.
 NO_ID = -(2**63)
 SLOTS = ("\u0001n", "\u0001q", "\u0001u", "\u0001p")
 
 
 def marked(text: Column) -> Column:
-    """Words with names and units marked, lower-cased, without punctuation, joined by white space."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " ")
+    """Words with capitals and units marked, lower-cased, without punctuation, joined by white space."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0004\t-\r ]+", " ")
     text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:] )\p{Lu}(?=\p{Ll})", NAME + "$0")
+    text = F.regexp_replace(text, rf"(?<![^ ])({PUNCT}*+)(\p{{Lu}})(?=\p{{Ll}})", "$1" + START + "$2")
     text = F.lower(text)
     text = F.regexp_replace(text, rf"(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT + "$0")
     return F.btrim(F.translate(text, STRIP, ""), F.lit(" \t\n\x0b\x0c\r"))
@@ -44,17 +49,18 @@ def words(text: Column) -> Column:
     return F.when(m == "", F.array().cast("array<string>")).otherwise(F.split(m, r"[\x20\x09-\x0D]+"))
 
 
-def template(word: Column) -> Column:
-    """The placeholder of a marked word, or the word."""
+def bare(word: Column) -> Column:
+    """A marked word without its mark."""
+    return F.when(word < "\u0005", word.substr(2, 1 << 30)).otherwise(word)
+
+
+def template(word: Column, marks: str = NAME + UNIT + START) -> Column:
+    """The placeholder of a number or of a word with one of ``marks``, or the word."""
     # a marker or a digit sorts below ':', so most words pay one comparison
-    slot = (
-        F.when(word.rlike(r"^\d+$"), F.lit(SLOTS[0]))
-        .when(word.rlike(rf"^\d+(?:{'|'.join(UNITS)})$"), F.lit(SLOTS[1]))
-        .when(word.startswith(UNIT), F.lit(SLOTS[2]))
-        .when(word.startswith(NAME), F.lit(SLOTS[3]))
-        .otherwise(word)
-    )
-    return F.when(word < ":", slot).otherwise(word)
+    slot = F.when(word.rlike(r"^\d+$"), F.lit(SLOTS[0])).when(word.rlike(rf"^\d+(?:{'|'.join(UNITS)})$"), F.lit(SLOTS[1]))
+    for mark in marks:
+        slot = slot.when(word.startswith(mark), F.lit(SLOTS[2] if mark == UNIT else SLOTS[3]))
+    return F.when(word < ":", slot.otherwise(bare(word))).otherwise(word)
 
 
 def is_slot(word: Column) -> Column:
@@ -68,33 +74,60 @@ def window_hashes(hashes: Column, size: int) -> Column:
     return F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
+def _hashes(marked_words: Column, marks: str = NAME + UNIT + START) -> Column:
+    return F.transform(marked_words, lambda w: F.xxhash64(template(w, marks)))
+
+
 def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """The columns of ``rows`` but text, with pos and wh of each window."""
+    """The columns of ``rows`` but text, with pos and wh of each window: capitals as names, inside sentences, or none.
+
+    strict: no capital at the start of a sentence counts as a name.
+    """
     keys = [c for c in rows.columns if c != "text"]
-    hashed = rows.select(*keys, F.transform(words(F.col("text")), lambda w: F.xxhash64(template(w))).alias("hs"))
-    return hashed.select(*keys, F.posexplode(window_hashes(F.col("hs"), size)).alias("pos", "wh"))
+    forms = {"all": NAME + UNIT + START, "inner": NAME + UNIT, "none": ""}
+    hashed = rows.select(*keys, words(F.col("text")).alias("ws")).select(*keys, *[_hashes(F.col("ws"), m).alias(f) for f, m in forms.items()])
+    # a form that equals another brings nothing
+    none = F.when(F.col("none") != F.col("all"), window_hashes(F.col("none"), size)).otherwise(F.array().cast("array<bigint>"))
+    inner = F.when((F.col("inner") != F.col("all")) & (F.col("inner") != F.col("none")), window_hashes(F.col("inner"), size)).otherwise(F.array().cast("array<bigint>"))
+    each = hashed.select(*keys, (F.col("inner") == F.col("all")).alias("same"), (F.size("all") - size + 1).alias("n"), F.posexplode(F.concat(window_hashes(F.col("all"), size), none, inner)).alias("at", "wh"))
+    return each.select(*keys, F.pmod("at", "n").alias("pos"), "wh", (F.col("same") | (F.col("at") >= F.col("n"))).alias("strict"))
+
+
+def _item_windows(items: DataFrame, size: int, literal: int) -> DataFrame:
+    """item_key, ipos, wh: the windows of items, for every choice of names among their capitalised words."""
+    count = F.size("item_words") - size + 1
+    cut = items.select("item_key", "item_words", F.explode(F.sequence(F.lit(0), count - 1)).alias("ipos"))
+    cut = cut.select("item_key", "ipos", F.slice("item_words", F.col("ipos") + 1, size).alias("ws"))
+    word = lambda k: F.get("ws", F.lit(k))
+    capital = lambda k: word(k).startswith(NAME) | word(k).startswith(START)
+    fixed = sum((F.when(capital(k), 0).otherwise(1 << k) for k in range(size)), F.lit(0)).alias("fixed")
+    named = cut.select("*", fixed).select("item_key", "ipos", "ws", F.explode(F.filter(F.sequence(F.lit(0), F.lit((1 << size) - 1)), lambda m: m.bitwiseAND(F.col("fixed")) == 0)).alias("mask"))
+    chosen = [F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(SLOTS[3])).otherwise(template(word(k), UNIT)) for k in range(size)]
+    named = named.select("item_key", "ipos", F.array(*chosen).alias("tmpl"))
+    every = named.union(cut.select("item_key", "ipos", F.transform("ws", lambda w: template(w, "")).alias("tmpl")))
+    every = every.filter(F.size(F.filter("tmpl", lambda w: ~is_slot(w))) >= literal)
+    return every.select("item_key", "ipos", F.xxhash64(*[F.xxhash64(F.get("tmpl", F.lit(k))) for k in range(size)]).alias("wh")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 4, min_run: int = 13) -> DataFrame:
     """Matches (doc_id, tkey, item_id, run_words, n_slots, changed): the longest consistent run of each pair."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
     items = benchmark.select("item_id", F.col("text").alias("text")).withColumn("item_words", words(F.col("text")))
-    items = save(items.select("item_id", "item_words", F.transform("item_words", template).alias("item_tmpl")).filter(F.size("item_words") >= window).withColumn("item_key", F.xxhash64("item_id", "item_words")).dropDuplicates(["item_key"]), "items")
-    spread = items.select("item_key", "item_tmpl", F.transform("item_tmpl", lambda w: F.xxhash64(w)).alias("hs"))
-    spread = spread.select("item_key", "item_tmpl", F.posexplode(window_hashes(F.col("hs"), window)).alias("ipos", "wh"))
-    plain = F.size(F.filter(F.slice("item_tmpl", F.col("ipos") + 1, window), lambda w: ~is_slot(w)))
-    bench = save(spread.filter(plain >= literal).select("item_key", "ipos", "wh"), "bench")
-    hits = _windows(own, window).join(checked(bench), "wh").select("doc_id", "tkey", "item_key", "pos", "ipos").distinct()
-    diagonal = Window.partitionBy("doc_id", "tkey", "item_key", "shift").orderBy("pos")
+    items = save(items.select("item_id", "item_words", F.transform("item_words", lambda w: template(w)).alias("item_tmpl")).filter(F.size("item_words") >= window).withColumn("item_key", F.xxhash64("item_id", "item_words")).dropDuplicates(["item_key"]), "items")
+    bench = save(_item_windows(items, window, literal), "bench")
+    hits = _windows(own, window).join(checked(bench), "wh").select("doc_id", "tkey", "item_key", "pos", "ipos", "strict")
+    # runs of strict hits count beside those of all, whose sentence starts may be at odds
+    hits = hits.select("doc_id", "tkey", "item_key", "pos", "ipos", F.explode(F.when(F.col("strict"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("strict")).distinct()
+    diagonal = Window.partitionBy("doc_id", "tkey", "item_key", "strict", "shift").orderBy("pos")
     runs = hits.withColumn("shift", F.col("pos") - F.col("ipos")).withColumn("island", F.col("pos") - F.row_number().over(diagonal))
-    runs = runs.groupBy("doc_id", "tkey", "item_key", "shift", "island").agg(F.min("pos").alias("pos"), F.min("ipos").alias("ipos"), (F.count("*") + window - 1).cast("int").alias("run_words"))
+    runs = runs.groupBy("doc_id", "tkey", "item_key", "strict", "shift", "island").agg(F.min("pos").alias("pos"), F.min("ipos").alias("ipos"), (F.count("*") + window - 1).cast("int").alias("run_words"))
     runs = save(runs, "runs")
     hit_docs = save(runs.select("doc_id", "tkey").distinct(), "hit_docs")
     texts = own.join(checked(hit_docs), ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
     texts = texts.select("doc_id", "tkey", words(F.col("text")).alias("doc_words"))
     both = runs.join(texts, ["doc_id", "tkey"]).join(checked(items), "item_key").filter(F.col("run_words") >= F.least(F.lit(min_run), F.size("item_words")))
-    places = F.filter(F.sequence(F.lit(0), F.col("run_words") - 1), lambda k: is_slot(F.get("item_tmpl", F.col("ipos") + k)))
-    pair = F.array_distinct(F.transform(places, lambda k: F.struct(F.get("item_words", F.col("ipos") + k).alias("a"), F.get("doc_words", F.col("pos") + k).alias("b"))))
+    places = F.filter(F.sequence(F.lit(0), F.col("run_words") - 1), lambda k: is_slot(F.get("item_tmpl", F.col("ipos") + k)) & ~(F.col("strict") & F.get("item_words", F.col("ipos") + k).startswith(START) & (bare(F.get("item_words", F.col("ipos") + k)) == bare(F.get("doc_words", F.col("pos") + k)))))
+    pair = F.array_distinct(F.transform(places, lambda k: F.struct(bare(F.get("item_words", F.col("ipos") + k)).alias("a"), bare(F.get("doc_words", F.col("pos") + k)).alias("b"))))
     both = both.withColumn("slots", pair)
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
