@@ -5,12 +5,13 @@ typed placeholders; other words are lower-cased and lose punctuation.  A capital
 item's window stands for every choice among its own, and a document's window is looked up with all of them as names,
 with those inside a sentence as names, and with none (nor units).  Windows of ``window``
 template words, ``literal`` of which at least are plain words, are hashed and joined with the benchmark's windows (a
-broadcast hash join while the benchmark's table is small, a shuffle join beyond).  Hits on one alignment merge into
+broadcast hash join while the benchmark's table is small, a shuffle join beyond).  Windows with fewer plain words join
+on the words as they are, numbers too, so only verbatim; so do whole items shorter than ``window``.  Hits on one alignment merge into
 runs.  A run counts if it covers ``min_run`` words or the whole item, and if its slots are consistent: an item's value
 always stands for the same value of the document.  So a question with other numbers or names is found, and a text
 that merely has the same shape with values at odds is not.
 
-Defined cases: null texts have no words; items shorter than ``window`` words match nothing; rows that share an id keep
+Defined cases: null texts have no words; items without words match nothing; rows that share an id keep
 apart by their text; repeated rows of documents give one result row, with the id; repeated items count as one item
 each; empty tables give an empty result; extra columns are ignored.
 """
@@ -78,25 +79,49 @@ def _hashes(marked_words: Column, marks: str = NAME + UNIT + START) -> Column:
     return F.transform(marked_words, lambda w: F.xxhash64(template(w, marks)))
 
 
-def _windows(rows: DataFrame, size: int) -> DataFrame:
+def _raw(marked_words: Column, size: int, literal: int) -> Column:
+    """Hash of the words of each window that has under ``literal`` plain words besides numbers, else null."""
+    plain = F.transform(marked_words, lambda w: (~is_slot(template(w, ""))).cast("int"))
+    hashes = F.transform(marked_words, lambda w: F.xxhash64(bare(w)))
+    count = F.size(marked_words) - size + 1
+    each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.when(sum((F.get(plain, i + k) for k in range(size)), F.lit(0)) < literal, F.xxhash64(*[F.get(hashes, i + k) for k in range(size)])))
+    return F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _short(rows: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """doc_id, tkey, item_key, pos, ipos, run_words: whole items of fewer than ``size`` words, as they are."""
+    sizes = [r[0] for r in items.select(F.size("item_words")).distinct().collect() if r[0] < size]
+    out = None
+    for n in sizes:
+        own = items.filter(F.size("item_words") == n).select("item_key", F.xxhash64(*[F.xxhash64(bare(F.get("item_words", F.lit(k)))) for k in range(n)]).alias("wh"))
+        hashed = rows.select("doc_id", "tkey", F.transform(words(F.col("text")), lambda w: F.xxhash64(bare(w))).alias("hs"))
+        cut = hashed.select("doc_id", "tkey", F.posexplode(window_hashes(F.col("hs"), n)).alias("pos", "wh"))
+        found = cut.join(checked(save(own, "short")), "wh").groupBy("doc_id", "tkey", "item_key").agg(F.min("pos").alias("pos")).select("doc_id", "tkey", "item_key", "pos", F.lit(0).alias("ipos"), F.lit(n).alias("run_words"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _windows(rows: DataFrame, size: int, literal: int, dense: bool) -> DataFrame:
     """The columns of ``rows`` but text, with pos and wh of each window: capitals as names, inside sentences, or none.
 
+    With ``dense``, windows of too few plain words also have the hash of their words as they are.
     strict: no capital at the start of a sentence counts as a name.
     """
     keys = [c for c in rows.columns if c != "text"]
     forms = {"all": NAME + UNIT + START, "inner": NAME + UNIT, "none": ""}
-    hashed = rows.select(*keys, words(F.col("text")).alias("ws")).select(*keys, *[_hashes(F.col("ws"), m).alias(f) for f, m in forms.items()])
+    raw = [_raw(F.col("ws"), size, literal).alias("raw")] if dense else [F.array().cast("array<bigint>").alias("raw")]
+    hashed = rows.select(*keys, words(F.col("text")).alias("ws")).select(*keys, *raw, *[_hashes(F.col("ws"), m).alias(f) for f, m in forms.items()])
     # a form that equals another brings nothing
     none = F.when(F.col("none") != F.col("all"), window_hashes(F.col("none"), size)).otherwise(F.array().cast("array<bigint>"))
     inner = F.when((F.col("inner") != F.col("all")) & (F.col("inner") != F.col("none")), window_hashes(F.col("inner"), size)).otherwise(F.array().cast("array<bigint>"))
-    each = hashed.select(*keys, (F.col("inner") == F.col("all")).alias("same"), (F.size("all") - size + 1).alias("n"), F.posexplode(F.concat(window_hashes(F.col("all"), size), none, inner)).alias("at", "wh"))
+    each = hashed.select(*keys, (F.col("inner") == F.col("all")).alias("same"), (F.size("all") - size + 1).alias("n"), F.posexplode(F.concat(window_hashes(F.col("all"), size), F.col("raw"), none, inner)).alias("at", "wh"))
     return each.select(*keys, F.pmod("at", "n").alias("pos"), "wh", (F.col("same") | (F.col("at") >= F.col("n"))).alias("strict"))
 
 
 def _item_windows(items: DataFrame, size: int, literal: int) -> DataFrame:
     """item_key, ipos, wh: the windows of items, for every choice of names among their capitalised words."""
     count = F.size("item_words") - size + 1
-    cut = items.select("item_key", "item_words", F.explode(F.sequence(F.lit(0), count - 1)).alias("ipos"))
+    cut = items.filter(count > 0).select("item_key", "item_words", F.explode(F.sequence(F.lit(0), count - 1)).alias("ipos"))
     cut = cut.select("item_key", "ipos", F.slice("item_words", F.col("ipos") + 1, size).alias("ws"))
     word = lambda k: F.get("ws", F.lit(k))
     capital = lambda k: word(k).startswith(NAME) | word(k).startswith(START)
@@ -105,22 +130,28 @@ def _item_windows(items: DataFrame, size: int, literal: int) -> DataFrame:
     chosen = [F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(SLOTS[3])).otherwise(template(word(k), UNIT)) for k in range(size)]
     named = named.select("item_key", "ipos", F.array(*chosen).alias("tmpl"))
     every = named.union(cut.select("item_key", "ipos", F.transform("ws", lambda w: template(w, "")).alias("tmpl")))
-    every = every.filter(F.size(F.filter("tmpl", lambda w: ~is_slot(w))) >= literal)
-    return every.select("item_key", "ipos", F.xxhash64(*[F.xxhash64(F.get("tmpl", F.lit(k))) for k in range(size)]).alias("wh")).distinct()
+    every = every.filter(F.size(F.filter("tmpl", lambda w: ~is_slot(w))) >= literal).withColumn("dense", F.lit(False))
+    few = F.size(F.filter("ws", lambda w: ~is_slot(template(w, "")))) < literal
+    every = every.union(cut.filter(few).select("item_key", "ipos", F.transform("ws", lambda w: bare(w)).alias("tmpl"), F.lit(True).alias("dense")))
+    return every.select("item_key", "ipos", F.xxhash64(*[F.xxhash64(F.get("tmpl", F.lit(k))) for k in range(size)]).alias("wh"), "dense").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 4, min_run: int = 13) -> DataFrame:
     """Matches (doc_id, tkey, item_id, run_words, n_slots, changed): the longest consistent run of each pair."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
     items = benchmark.select("item_id", F.col("text").alias("text")).withColumn("item_words", words(F.col("text")))
-    items = save(items.select("item_id", "item_words", F.transform("item_words", lambda w: template(w)).alias("item_tmpl")).filter(F.size("item_words") >= window).withColumn("item_key", F.xxhash64("item_id", "item_words")).dropDuplicates(["item_key"]), "items")
+    items = save(items.select("item_id", "item_words", F.transform("item_words", lambda w: template(w)).alias("item_tmpl")).filter(F.size("item_words") > 0).withColumn("item_key", F.xxhash64("item_id", "item_words")).dropDuplicates(["item_key"]), "items")
     bench = save(_item_windows(items, window, literal), "bench")
-    hits = _windows(own, window).join(checked(bench), "wh").select("doc_id", "tkey", "item_key", "pos", "ipos", "strict")
+    dense = bool(bench.filter("dense").limit(1).count())
+    hits = _windows(own, window, literal, dense).join(checked(bench), "wh").select("doc_id", "tkey", "item_key", "pos", "ipos", "strict")
     # runs of strict hits count beside those of all, whose sentence starts may be at odds
     hits = hits.select("doc_id", "tkey", "item_key", "pos", "ipos", F.explode(F.when(F.col("strict"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("strict")).distinct()
     diagonal = Window.partitionBy("doc_id", "tkey", "item_key", "strict", "shift").orderBy("pos")
     runs = hits.withColumn("shift", F.col("pos") - F.col("ipos")).withColumn("island", F.col("pos") - F.row_number().over(diagonal))
     runs = runs.groupBy("doc_id", "tkey", "item_key", "strict", "shift", "island").agg(F.min("pos").alias("pos"), F.min("ipos").alias("ipos"), (F.count("*") + window - 1).cast("int").alias("run_words"))
+    short = _short(own, items, window)
+    if short is not None:
+        runs = runs.unionByName(short.withColumns({"strict": F.lit(False), "shift": F.col("pos"), "island": F.lit(0)}))
     runs = save(runs, "runs")
     hit_docs = save(runs.select("doc_id", "tkey").distinct(), "hit_docs")
     texts = own.join(checked(hit_docs), ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
