@@ -78,12 +78,12 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``save`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(df._marketloom_path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that ``save`` wrote, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._marketloom_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps on tables.
 
-Each step is a grouped minimum (with map-side combine) and a join back, so a hub with many edges is never one task's
-group.  Edges stay in the shared folder between steps; only two counters come to the driver.
+Each step is a grouped minimum (with map-side combine), written, and a join of the edges with it: a broadcast below
+the size limit, beyond it a join of two plain exchanges, where adaptive execution splits a hub with many edges over
+tasks.  Edges stay in the shared folder between steps; only counters come to the driver.
 """
 
 from __future__ import annotations
@@ -9,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save
+from .common import checked, drop, save
 
 
-def _star(near: DataFrame, large: bool) -> DataFrame:
-    """near: (u, v) with v a neighbour of u.  Large: neighbours above u go to the least; small: all below go to it."""
-    low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    both = near.join(low, "u")
+def _star(near: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """near: (u, v) with v a neighbour of u.  Large: neighbours above u go to the least; small: all below go to it.
+    Also the table of minima, which can go when the step is written."""
+    low = save(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least", rows=10000)
+    both = near.join(checked(low), "u")
     if large:
-        return both.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-    return both.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+        return both.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), low
+    return both.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), low
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,12 +30,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        wide = _star(both, True)
-        nxt = save(_star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
+        wide, low = _star(both, True)
+        wide = save(wide, "edges")
+        small, lower = _star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
+        nxt = save(small, "edges")
         row = nxt.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h"), F.sum(F.hash("b", "a").cast("decimal(38,0)") * F.lit(3)).alias("g")).first()
-        drop(now)
+        drop(now, wide, low, lower)
         now = nxt
         if (found := (row["n"], row["h"], row["g"])) == state:
             break
         state = found
-    return save(now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct(), "components")
+    out = save(now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct(), "components")
+    drop(now)
+    return out
