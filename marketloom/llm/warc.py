@@ -18,9 +18,11 @@ task that is run again leaves one whole file.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -117,18 +119,24 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         del buf[: size + 4]
 
 
-def inflated(data: bytes, piece: int = PIECE) -> Iterator[bytes]:
-    """A gzip file in pieces of bounded size, members after the first included."""
-    left = data
-    while left:
-        one = zlib.decompressobj(31)
-        while not one.eof:
-            out = one.decompress(left, piece)
-            if not out and not one.eof and not one.unconsumed_tail:
-                raise ValueError("the gzip stream is cut off")
-            left = one.unused_data if one.eof else one.unconsumed_tail
-            if out:
-                yield out
+def inflated(source: bytes | BinaryIO, piece: int = PIECE) -> Iterator[bytes]:
+    """A gzip file in pieces of bounded size, members after the first included; of a stream, one piece is held."""
+    read = (io.BytesIO(source) if isinstance(source, bytes) else source).read
+    one, left = None, b""
+    while True:
+        left = left or read(piece)
+        if not left and one is None:
+            return
+        one = one or zlib.decompressobj(31)
+        ended = not left
+        out = one.decompress(left, piece)
+        left = one.unused_data if one.eof else one.unconsumed_tail
+        if ended and not out and not one.eof:
+            raise ValueError("the gzip stream is cut off")
+        if one.eof:
+            one = None
+        if out:
+            yield out
 
 
 def member(record: bytes, level: int = 6) -> bytes:
@@ -160,16 +168,31 @@ def _replace(fs: pafs.FileSystem, tmp: str, name: str) -> None:
     fs.move(tmp, name)
 
 
+def _opened(path: str) -> BinaryIO:
+    fs, name = _filesystem(path)
+    return fs.open_input_stream(name, compression=None)
+
+
+def _streamed(path: str) -> bool:
+    """Whether workers can open the path themselves; one that only Spark reads comes as whole files."""
+    try:
+        _filesystem(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def _normalise(out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(out)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            contents = batch.column(1) if batch.num_columns > 1 else [None] * batch.num_rows
+            for path, content in zip(batch.column(0).to_pylist(), contents, strict=True):
                 name = hashlib.sha1(path.encode()).hexdigest()[:20]
                 archive, attempt = f"{root}/{name}.warc.gz", hashlib.sha1(f"{path}{id(batch)}".encode()).hexdigest()[:8]
                 tmp, rows, at = f"{archive}.{attempt}.tmp", [], 0
-                with fs.open_output_stream(tmp) as sink:
-                    for heads, record in split_records(inflated(content.as_py())):
+                with fs.open_output_stream(tmp) as sink, (_opened(path) if content is None else io.BytesIO(content.as_py())) as source:
+                    for heads, record in split_records(inflated(source)):
                         data = member(record)
                         sink.write(data)
                         rows.append((name, at, len(data), _number(heads.get("x-page-id")), heads["warc-type"], int(heads["x-payload-bytes"]), heads["warc-payload-digest"].removeprefix("sha1:"), _number(heads.get("x-refers-to-page-id"))))
@@ -189,7 +212,8 @@ def normalise(spark: SparkSession, source: str, out: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(out)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
+    files = files.select("path") if _streamed(source) else files.select("path", "content")
     return save(files.mapInArrow(_normalise(out), "archive string, records bigint, bytes bigint"), "normalised", rows=1)
 
 
@@ -221,8 +245,9 @@ def _read(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatc
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, out: str) -> DataFrame:
-    """Records of the normalised archives, each found by its index entry and checked against its digest."""
-    return archives.select("archive").repartition("archive").mapInArrow(lambda it: _read(it, out), RECORD)
+    """Records of the normalised archives, each found by its index entry and checked against its digest; a task an
+    archive."""
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(lambda it: _read(it, out), RECORD)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
