@@ -18,8 +18,8 @@ than ``k`` (or than there are candidates) meet all blocks again, and there each
 as many or has compared all its rows.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite components take no
-part, nor do rows without an id; equal rows count once; rows that share an id count as the best of them; a query's own
-id is no candidate; fewer than ``k`` candidates are all returned; an empty table gives an empty result; extra columns
+part, nor do rows without an id; equal rows count once; rows that share an id count as the best of them, as candidates
+and as queries; a query's own id is no candidate; fewer than ``k`` candidates are all returned; an empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -176,9 +176,12 @@ def _search(radius: int, size: int, k: int, least: int = 0):
         held: tuple[int, Block] | None = None
         for batch in batches:
             for row in batch.to_pylist():
-                if held is None or held[0] != row["block"]:
+                if row["q_block"] < 0:  # the block itself comes before the queries
                     held = (row["block"], Block(*_open(row, size)))
-                ids, vectors, codes = _open({"ids": row["q_ids"], "vectors": row["q_vectors"], "codes": row["q_codes"]}, size)
+                    continue
+                if held is None or held[0] != row["block"]:
+                    continue  # no row of the index fell into this block
+                ids, vectors, codes = _open(row, size)
                 out = [held[1].best(int(q), v, c, radius, k, least) for q, v, c in zip(ids, vectors, codes, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(o[0]) for o in out])), pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], names=["query_id", "vec_id", "score"])
 
@@ -214,9 +217,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 128,
         """The given queries, block by block, against every block of the index."""
         q_blocks = max(1, math.ceil(count / query_block))
         queries = packed(rows, q_blocks, True, f"{name}_queries")
-        sent = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("codes").alias("q_codes"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        pairs = sent.join(index, "block").repartition(min(blocks * q_blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), "block", "q_block").sortWithinPartitions("block")
-        pairs = pairs.select("block", "ids", "vectors", "codes", "q_ids", "q_vectors", "q_codes")
+        # a block of the index leaves for its task once, where the queries come to it
+        sent = queries.select(F.col("block").alias("q_block"), "ids", "vectors", "codes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = index.withColumn("q_block", F.lit(-1)).unionByName(sent).select("block", "q_block", "ids", "vectors", "codes")
+        pairs = pairs.repartition(blocks, "block").sortWithinPartitions("block", "q_block")
         return save(pairs.mapInArrow(_search(codes.radius, size, k, least), HITS), name, rows=1)
 
     asking = own.filter(is_query)
@@ -229,4 +233,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 128,
     if again:
         hits = hits.union(searched(short, again, least, "more_hits"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
