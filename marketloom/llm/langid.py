@@ -1,7 +1,7 @@
 """Language ID by compression: the language whose zstandard dictionary encodes a text in the fewest bytes.
 
-Learning.  For each language a bounded sample of labelled texts (``sample_docs`` expected texts of 200 to 20,000
-characters, chosen by text hash, equal texts once) fills a raw-content dictionary of ``dict_bytes``; nothing else is
+Learning.  For each language a bounded sample of labelled texts (``sample_docs`` expected texts of 20 to 20,000
+characters with a letter, chosen by text hash, equal texts once; those of 200 and more if there are any) fills a raw-content dictionary of ``dict_bytes``; nothing else is
 learned, and the sample is all that reaches the driver.  Prediction reads the text alone.
 
 A text is lower-cased and encoded in pieces of ``piece`` bytes, each against every dictionary, so a long text leans on
@@ -11,7 +11,8 @@ evidence.  ``accepted`` is false where the best size is within ``margin`` (relat
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, not accepted; ties go to the first
 language by code point and are not accepted; with one language all texts with letters are accepted; without labelled
-texts all are ``und``; rows repeat as they come; an empty table gives an empty result; extra columns stay.
+texts all are ``und``; rows repeat as they come; an empty table gives an empty result; extra columns stay, but for
+such as are called lang_pred, lang_score or lang_accepted, which the results replace.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 UND = "und"
 SHORT = 400
@@ -39,8 +40,8 @@ def crc_part(doc_id: Column, parts: int = 4) -> Column:
 def learn(labelled: DataFrame, dict_bytes: int = 1 << 16, sample_docs: int = 256) -> dict[str, bytes]:
     """A dictionary for each language of ``labelled`` (text, lang)."""
     usable = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.length("text").between(20, 20000))
-    # labels only are read for the counts when the text filter is cheap to skip; both passes are map-side combined
-    found = {r["lang"]: r["n"] for r in labelled.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # the draw is a share of the usable texts, so a language with few of them keeps them all
+    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not found:
         return {}
     share = F.lit(0)
@@ -88,7 +89,8 @@ def judge(text: str, compressors: list[zstandard.ZstdCompressor], piece: int) ->
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], piece: int = 4096, margin: float = 0.001, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_accepted."""
     langs = list(dictionaries)
-    kept = [c for c in docs.columns if c != "has_letters__"]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score", "lang_accepted")]
+    (letters_col,) = fresh(kept, "has_letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(dictionaries)
@@ -107,4 +109,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], piece: int = 4096,
 
     small_batches(docs.sparkSession)
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_accepted", "boolean")
-    return docs.select(*kept, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letters__")).mapInArrow(run, schema)
+    return docs.select(*kept, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters_col)).mapInArrow(run, schema)
