@@ -91,6 +91,17 @@ def checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if table_bytes(df.sparkSession, df._marketloom_path) <= limit else df
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores where a table already has such a column (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """Two-part content key: rows that share an id but not a text stay apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import checked, save, text_key
+from .common import checked, fresh, save, text_key
 
 NO_ID = -(2**63)
 LINE = "h1 bigint, h2 bigint, doc_id bigint, tkey bigint, pos int, n_lines int"
@@ -186,10 +186,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with its line_keep bitmap (null: all lines stay); the text shuffles only if the bitmaps are many."""
-    right = checked(bitmaps).select(F.col("doc_id").alias("line_id"), F.col("tkey").alias("line_tkey"), F.col("keep").alias("line_keep"))
-    own = docs.withColumn("line_own", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("line_own_tkey", text_key(F.col("text")))
-    return own.join(right, (F.col("line_own") == F.col("line_id")) & (F.col("line_own_tkey") == F.col("line_tkey")), "left").select(*docs.columns, "line_keep")
+    """``docs`` with its line_keep bitmap (null: all lines stay), which replaces a column of that name; the text shuffles
+    only if the bitmaps are many."""
+    kept = [c for c in docs.columns if c.lower() != "line_keep"]
+    at, key, own_at, own_key = fresh(kept, "line_id", "line_tkey", "line_own", "line_own_tkey")
+    right = checked(bitmaps).select(F.col("doc_id").alias(at), F.col("tkey").alias(key), F.col("keep").alias("line_keep"))
+    own = docs.select(*kept, F.coalesce("doc_id", F.lit(NO_ID)).alias(own_at), text_key(F.col("text")).alias(own_key))
+    return own.join(right, (F.col(own_at) == F.col(at)) & (F.col(own_key) == F.col(key)), "left").select(*kept, "line_keep")
 
 
 def kept_text(text: bytes | None, keep: bytes | None) -> tuple[bytes, int, int]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from .common import WORD, fresh, save
 
 FLIGHT = "source_ix int, doc_id bigint, unit bigint, size bigint, p double"
 
@@ -173,14 +173,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies``: how often.  Equal rows share their copies evenly."""
-    mix = mix_sources(docs, weights, cap).groupBy("doc_id", "unit").agg(F.sum("copies").alias("mix_sum"), F.count("*").alias("mix_n"))
+    """The rows of ``docs`` that the mix takes, with ``copies``: how often.  Equal rows share their copies evenly.
+
+    Where ``docs`` has a column ``copies`` of its own, the new one is called ``copies_``.
+    """
+    unit, at, unit_key, key, total, n, copies = fresh(docs.columns, "mix_unit", "mix_id", "mix_unit_key", "mix_key", "mix_sum", "mix_n", "copies")
     known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    own = docs.withColumn("mix_unit", F.xxhash64("doc_id", "text")).withColumn("mix_id", known)
-    mix = mix.withColumn("mix_key", known).withColumnRenamed("unit", "mix_key_unit").drop("doc_id")
-    both = own.join(mix, (F.col("mix_unit") == F.col("mix_key_unit")) & (F.col("mix_id") == F.col("mix_key")))
+    mix = mix_sources(docs, weights, cap).groupBy("doc_id", "unit").agg(F.sum("copies").alias(total), F.count("*").alias(n))
+    mix = mix.select(known.alias(key), F.col("unit").alias(unit_key), total, n)
+    own = docs.withColumns({unit: F.xxhash64("doc_id", "text"), at: known})
+    both = own.join(mix, (F.col(unit) == F.col(unit_key)) & (F.col(at) == F.col(key)))
     # the join's own keys, so the texts move once
-    nth = F.row_number().over(Window.partitionBy("mix_unit", "mix_id").orderBy("mix_n"))
-    rank = F.when(F.col("mix_n") == 1, F.lit(1)).otherwise(nth)
-    copies = (F.floor(F.col("mix_sum") / F.col("mix_n")) + (rank <= F.col("mix_sum") % F.col("mix_n")).cast("int")).cast("int")
-    return both.withColumn("mix_copies", copies).filter("mix_copies > 0").select(*docs.columns, F.col("mix_copies").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy(unit, at).orderBy(n))
+    rank = F.when(F.col(n) == 1, F.lit(1)).otherwise(nth)
+    taken = (F.floor(F.col(total) / F.col(n)) + (rank <= F.col(total) % F.col(n)).cast("int")).cast("int")
+    return both.withColumn(copies, taken).filter(F.col(copies) > 0).select(*docs.columns, copies)
