@@ -215,8 +215,8 @@ def signal_state(persistence: Column, phase_: Column) -> Column:
 
 
 def alert_level(score: Column) -> Column:
-    """P23, inclusive."""
-    return ladder((score >= 0.7, "ALTA"), (score >= 0.4, "MEDIA"), otherwise="BAJA")
+    """P23 of the binary score, inclusive."""
+    return ladder((score >= 0.7, "DISTRIBUCION FUERTE"), (score >= 0.4, "POSIBLE DISTRIBUCION"), otherwise="SIN SENAL")
 
 
 # ---- options, positioning, global layer, validation ----

@@ -46,6 +46,13 @@ def div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def correlation(x: Column, y: Column, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of the rows that have both, as an aggregate or over a window; NULL without spread."""
+    whole = lambda c: c if w is None else c.over(w)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return div(whole(F.covar_pop(x, y)), whole(F.stddev_pop(a)) * whole(F.stddev_pop(b)))
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.primitives import change, ffill, ordered, over, roll
+from .staging import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def trades(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame
     """One row a trade: symbol, day, price in whole cents, quantity and a total order.  level: region, nation, stock, sector or market."""
     li = table(spark, sf_dir, "lineitem")
     if level in ("region", "nation"):
-        li = li.join(F.broadcast(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+        li = li.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         li = li.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
         if level == "region":
             li = li.join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -66,14 +67,14 @@ def dollar_volume(bars: DataFrame, smooth: int = 3) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str, level: str = "region", grain: str = "day") -> DataFrame:
-    """Filled bars with dollar volume and returns."""
-    bars = daily_bars(trades(spark, sf_dir, level))
+    """Filled bars with dollar volume and returns.  Daily bars are staged: the trades are read once, whatever follows."""
+    bars = staged(daily_bars(trades(spark, sf_dir, level)))
     return dollar_volume(spine(weekly_bars(bars) if grain == "week" else bars))
 
 
 def benchmark(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
     """dt, bench: close of all regions pooled."""
-    bars = daily_bars(trades(spark, sf_dir, "market"))
+    bars = staged(daily_bars(trades(spark, sf_dir, "market")))
     bars = weekly_bars(bars) if grain == "week" else bars
     return bars.select("dt", F.col("close").alias("bench"))
 
@@ -100,7 +101,7 @@ def put_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """market, report_dt, asset_long, asset_short, net_position by nation and week."""
-    li = table(spark, sf_dir, "lineitem").join(F.broadcast(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     li = li.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     qty = lambda s: F.coalesce(F.sum(F.when(F.col("l_returnflag").isin(*s), F.col("l_quantity").cast("bigint"))), F.lit(0)).cast("double")
     out = li.groupBy(F.col("n_name").alias("market"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("report_dt")).agg(qty(("A", "R")).alias("asset_long"), qty(("N",)).alias("asset_short"))

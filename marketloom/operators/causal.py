@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ladders import ladder
 from ..functions.primitives import clip, decay_of, diff, ewm, ffill, ordered, over, quantile, robust_z, roll, share_below
+from .staging import staged
 
 
 def orthogonal(df: DataFrame, base: str, target: str, out: str, n: int = 60) -> DataFrame:
@@ -80,7 +81,7 @@ def regression_residual(df: DataFrame, x: str, y: str, out: str, window: int = 6
 
 def decayed(df: DataFrame, x: str, out: str, halflife: float = 5) -> DataFrame:
     """Recursive exponential mean over the non-null values, carried over nulls; unchanged below ``halflife`` values."""
-    df = df.persist()  # read by both sides of the join below
+    df = staged(df)  # read by both sides of the join below
     known = df.filter(F.col(x).isNotNull()).select("symbol", "dt", x)
     smooth = ewm(known, x, "__s", decay_of(halflife=halflife), adjust=False).select("symbol", "dt", "__s")
     df = df.join(smooth, ["symbol", "dt"], "left")
@@ -99,7 +100,8 @@ def causal_chain(attribution: DataFrame, macro: DataFrame, structure: DataFrame,
     """E1's chain for every row: robust z of macro and flow on their common days, residual of flow on macro, both
     smoothed, with the transition (R22) and the structure's value, ready for edge, truth, alignment and tradeable."""
     df = attribution.select("symbol", "dt", "signal").join(macro.select("dt", "macro"), "dt").join(structure.select("symbol", "dt", "structure"), ["symbol", "dt"])
-    df = df.withColumn("transition", joint_shift(F.col("macro"), F.col("signal"))).persist()
+    df = df.withColumn("transition", joint_shift(F.col("macro"), F.col("signal")))
+    df = staged(df)
     common = df.filter("macro is not null and signal is not null").select("symbol", "dt", "macro", "signal")
     common = robust_z(robust_z(common, "macro", "macro_z", window, eps=1e-9), "signal", "flow_z", window, eps=1e-9).filter("macro_z is not null and flow_z is not null")
     residual = regression_residual(common, "macro_z", "flow_z", "flow_orthogonal", window).select("symbol", "dt", "macro_z", "flow_z", "flow_orthogonal")

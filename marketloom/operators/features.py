@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ladders import flow_regime, price_action, price_regime
-from ..functions.primitives import average_rank, change, decay_of, diff, div, ewm, flag, ordered, over, robust_z, roll, zscore
+from ..functions.primitives import average_rank, change, correlation, decay_of, diff, div, ewm, flag, ordered, over, robust_z, roll, zscore
 
 
 def with_flow(market: DataFrame) -> DataFrame:
@@ -69,8 +69,15 @@ def activity(market: DataFrame, bench: DataFrame) -> DataFrame:
     return zscore(df, "flow_acc", "acc_z", 20, mp=10, eps=1e-9)
 
 
-def breadth(market: DataFrame, window: int = 100) -> DataFrame:
-    """Dt, breadth: equal-weighted share above the moving average, less one half; NULL counts as below."""
+def breadth(market: DataFrame, window: int = 100, weights: DataFrame | None = None) -> DataFrame:
+    """Dt, breadth: weighted share above the moving average, less one half; NULL counts as below.
+
+    ``weights`` (symbol, weight) is configuration: symbols that it lacks do not count.  Without it all weigh the same.
+    """
+    if weights is not None:
+        above = flag(F.col("close") > roll(F.avg, F.col("close"), over(window), window))
+        held = market.withColumn("above", above).join(F.broadcast(weights), "symbol")
+        return held.groupBy("dt").agg(F.sum(F.col("weight") * (F.col("above") - 0.5)).alias("breadth"))
     n = market.select("symbol").distinct().agg(F.count("*").alias("n"))
     above = flag(F.col("close") > roll(F.avg, F.col("close"), over(window), window))
     df = market.withColumn("above", above).crossJoin(F.broadcast(n))  # one row
@@ -118,7 +125,7 @@ def mean_correlation(market: DataFrame, rows: int = 60) -> DataFrame:
     recent = market.select("dt").distinct().orderBy(F.desc("dt")).limit(rows)
     x = market.join(F.broadcast(recent), "dt", "left_semi").filter("ret is not null").select("dt", "symbol", "ret")
     pairs = x.alias("a").join(x.alias("b"), (F.col("a.dt") == F.col("b.dt")) & (F.col("a.symbol") < F.col("b.symbol")))
-    by = pairs.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.when(F.count("*") >= 2, F.corr("a.ret", "b.ret")).alias("c"))
+    by = pairs.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.when(F.count("*") >= 2, correlation(F.col("a.ret"), F.col("b.ret"))).alias("c"))
     return by.agg(F.avg("c").alias("mean_correlation")).withColumn("high", flag(F.col("mean_correlation") > 0.7))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ladders import cap_class
-from ..functions.primitives import average_rank, clip, decay_of, diff, div, ewm, flag, ordered, over, rank_share, robust_z, roll
+from ..functions.primitives import average_rank, clip, correlation, decay_of, diff, div, ewm, flag, ordered, over, rank_share, robust_z, roll
 from .patterns import phases
 
 
@@ -20,7 +20,7 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
 
 def stock_series(stocks: DataFrame, sectors: DataFrame, holdings: DataFrame) -> DataFrame:
     """A15 for every row: relative strength and flow of a stock against its sector's bars (J6: holdings are a row a stock)."""
-    df = stocks.join(F.broadcast(holdings), "symbol").join(sectors.select(F.col("symbol").alias("sector"), "dt", F.col("close").alias("sector_close")), ["sector", "dt"], "left")
+    df = stocks.join(holdings, "symbol").join(sectors.select(F.col("symbol").alias("sector"), "dt", F.col("close").alias("sector_close")), ["sector", "dt"], "left")
     w = ordered()
     df = df.withColumn("rs", div(F.col("close"), F.col("sector_close")))
     df = df.withColumn("rs_mom", diff(F.ln("rs"), 20, w)).withColumn("__flow", F.col("ret") * F.col("dollar_vol"))
@@ -62,7 +62,7 @@ def leadership(metrics: DataFrame, group: list[str], weights: tuple[float, float
         df = df.withColumn("__m", mid(F.col(c))).withColumn("__a", F.abs(F.col(c) - F.col("__m")))
         df = df.withColumn(z, clip((F.col(c) - F.col("__m")) / (1.4826 * mid(F.col("__a")) + 1e-9), -3, 3))
     df = df.withColumn("__r1", average_rank(F.col("rs_mom"), group)).withColumn("__r2", average_rank(F.col("flow_z"), group))
-    df = df.withColumn("rho", F.when(F.count(F.lit(1)).over(w) >= 5, F.corr("__r1", "__r2").over(w)))
+    df = df.withColumn("rho", F.when(F.count(F.lit(1)).over(w) >= 5, correlation(F.col("__r1"), F.col("__r2"), w)))
     shrink = F.when(F.col("rho") > 0.7, 1 - F.least(F.lit(1.0), (F.col("rho") - 0.7) / 0.3)).otherwise(1.0)
     a, b, c, d = weights
     df = df.withColumn("wls", a * F.col("rs_z") + b * shrink * F.col("flow_n") + c * F.col("rws_z") + d * F.col("stab_z"))
@@ -121,7 +121,7 @@ def rank_persistence(leaders_log: DataFrame, least: int = 3) -> DataFrame:
     now = leaders_log.select("sector", "dt", "symbol", F.col("wls").alias("a")).join(days, ["sector", "dt"])
     then = leaders_log.select("sector", F.col("dt").alias("nxt"), "symbol", F.col("wls").alias("b"))
     both = now.join(then, ["sector", "nxt", "symbol"]).withColumn("ra", average_rank(F.col("a"), ["sector", "dt"])).withColumn("rb", average_rank(F.col("b"), ["sector", "dt"]))
-    by = both.groupBy("sector", "dt").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")).filter(F.col("n") >= least)
+    by = both.groupBy("sector", "dt").agg(F.count("*").alias("n"), correlation(F.col("ra"), F.col("rb")).alias("rho")).filter(F.col("n") >= least)
     return by.agg(F.avg("rho").alias("rank_persistence"))
 
 

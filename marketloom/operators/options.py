@@ -54,10 +54,11 @@ def market_structure(pcr: DataFrame, volume: DataFrame) -> DataFrame:
 
 
 def parse_positioning(raw: DataFrame) -> DataFrame:
-    """S10 on all-string columns market, report_dt, asset_long, asset_short: trim, coerce, drop what does not parse."""
+    """S10 on all-string columns market, report_dt, asset_long, asset_short: trim, coerce, drop rows whose date or
+    numbers do not parse; a missing market stays."""
     number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
     df = raw.select(F.trim("market").alias("market"), F.expr("try_to_timestamp(trim(report_dt), 'yyyy-MM-dd')").cast("date").alias("report_dt"), number("asset_long").alias("asset_long"), number("asset_short").alias("asset_short"))
-    return df.na.drop().withColumn("net_position", F.col("asset_long") - F.col("asset_short"))
+    return df.na.drop(subset=["report_dt", "asset_long", "asset_short"]).withColumn("net_position", F.col("asset_long") - F.col("asset_short"))
 
 
 def merge_positioning(history: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,10 +76,23 @@ def positioning_z(cot: DataFrame, n: int = 52, mp: int = 10) -> DataFrame:
     return zscore(df, "net_position", "cot_z", n, mp, key="market", time="report_dt")
 
 
-def sector_positioning(cot_z: DataFrame, market_map: DataFrame) -> DataFrame:
-    """Median z by key over the last report's markets whose name matches the key's pattern
-    (case-insensitive, without MICRO and NANO).  ``market_map`` is configuration: some tens of rows."""
-    last = cot_z.join(F.broadcast(cot_z.agg(F.max("report_dt").alias("report_dt"))), "report_dt", "left_semi")
+def latest_by_market(cot_z: DataFrame) -> DataFrame:
+    """Each market's own last row, whatever the others' dates (one market's rows of one date: any one of them)."""
+    row = F.max_by(F.struct(*[c for c in cot_z.columns if c != "market"]), "report_dt").alias("r")
+    return cot_z.groupBy("market").agg(row).select("market", "r.*")
+
+
+def home_positioning(cot_z: DataFrame, pattern: str) -> DataFrame:
+    """report_dt, cot_z of the home market: the last by name of those that match (case-insensitive)."""
+    own = cot_z.filter(F.col("market").rlike(f"(?i){pattern}"))
+    return own.join(F.broadcast(own.agg(F.max("market").alias("market"))), "market", "left_semi").select("report_dt", "cot_z")  # one row
+
+
+def sector_positioning(cot_z: DataFrame, market_map: DataFrame, by_market: bool = False) -> DataFrame:
+    """Median z by key over the markets whose name matches the key's pattern (case-insensitive, without
+    MICRO and NANO).  The positioning table reads the rows of the last report date; with ``by_market`` each market
+    gives its own last row (A6), as the synthetic factors have it.  ``market_map`` is configuration: some tens of rows."""
+    last = latest_by_market(cot_z) if by_market else cot_z.join(F.broadcast(cot_z.agg(F.max("report_dt").alias("report_dt"))), "report_dt", "left_semi")
     hit = last.join(F.broadcast(market_map), F.expr("market rlike concat('(?i)', pattern)") & ~F.col("market").rlike("(?i)MICRO|NANO"))
     out = hit.groupBy("key").agg(F.percentile("cot_z", F.lit(0.5)).alias("z"), F.count("*").alias("instruments"), F.max("report_dt").alias("report_dt"))
     return out.filter("z is not null").withColumn("label", lad.positioning_label(F.col("z")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders as lad
-from ..functions.primitives import change, clip, decay_of, div, ewm, flag, median, ordered, over, quantile, robust_z, roll, rolling_rank
+from ..functions.primitives import change, clip, correlation, decay_of, div, ewm, flag, median, ordered, over, quantile, robust_z, roll, rolling_rank
 
 
 def weekly_data(market: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def risk_direction(weekly: DataFrame) -> DataFrame:
     df = weekly.withColumn("vol20", roll(F.stddev_samp, F.col("ret"), over(20), 20))
     df = df.withColumn("__q", roll(quantile(0.1), F.col("vol20"), over(252), 20))
     last = df.groupBy("symbol").agg(F.greatest(F.coalesce(F.max_by("__q", "dt"), F.lit(0.01)), F.lit(0.01)).alias("floor"))
-    df = df.join(F.broadcast(last), "symbol")  # a row a symbol
+    df = df.join(last, "symbol")
     return df.withColumn("risk_direction", div(F.col("ret"), F.when(F.col("vol20").isNotNull(), F.greatest("vol20", "floor")))).drop("__q", "floor")
 
 
@@ -57,18 +57,27 @@ def volatility_regime(weekly: DataFrame) -> DataFrame:
     and the median over symbols."""
     df = weekly.filter("ret is not null").withColumn("__s", roll(F.stddev_samp, F.col("ret"), over(156), 52)).withColumn("__v", roll(F.stddev_samp, F.col("ret"), over(20), 20))
     mid = df.groupBy("symbol").agg(median(F.col("__s")).alias("mid"), F.count("*").alias("n"), F.max_by("__v", "dt").alias("now"))
-    mad = df.join(F.broadcast(mid), "symbol").groupBy("symbol").agg(median(F.abs(F.col("__s") - F.col("mid"))).alias("mad"), F.first("mid").alias("mid"), F.first("n").alias("n"), F.first("now").alias("now"))
+    mad = df.join(mid, "symbol").groupBy("symbol").agg(median(F.abs(F.col("__s") - F.col("mid"))).alias("mad"), F.first("mid").alias("mid"), F.first("n").alias("n"), F.first("now").alias("now"))
     by = mad.select("symbol", F.when(F.col("n") < 156, 1.0).otherwise((F.col("now") - F.col("mid")) / (1.4826 * F.col("mad") + 1e-9)).alias("regime"))
     return by.withColumn("overall", F.percentile("regime", F.lit(0.5)).over(Window.partitionBy(F.lit(1))))
 
 
-def region_alignment(weekly: DataFrame, window: int = 12) -> DataFrame:
-    """Mean pairwise correlation of the last ``window`` weeks; 0.5 without two regions or enough weeks."""
-    last = weekly.select("dt").distinct().orderBy(F.desc("dt")).limit(window)
-    x = weekly.join(F.broadcast(last), "dt", "left_semi").select("dt", "symbol", "ret")
-    pairs = x.alias("a").join(x.alias("b"), (F.col("a.dt") == F.col("b.dt")) & (F.col("a.symbol") < F.col("b.symbol")))
-    by = pairs.groupBy("a.symbol", "b.symbol").agg(F.when(F.count("*") >= window, F.corr("a.ret", "b.ret")).alias("c"))
-    return by.agg(F.coalesce(F.avg("c"), F.lit(0.5)).alias("alignment"))
+def region_alignment(weekly: DataFrame, window: int = 12, regions: DataFrame | None = None) -> DataFrame:
+    """Mean pairwise correlation of the regions' returns over ``window`` weeks, at the last week that has it for
+    every pair; 0.5 without such a week or without two regions.
+
+    ``regions`` (region, symbol) is configuration; a region's return is the mean of its symbols'.  Without it every
+    symbol is a region.  A region without any symbol here does not count.
+    """
+    x = weekly.select("dt", F.col("symbol").alias("region"), "ret")
+    if regions is not None:
+        x = weekly.join(F.broadcast(regions.select("region", "symbol")), "symbol").groupBy("dt", "region").agg(F.avg("ret").alias("ret"))
+    pairs = x.alias("a").join(x.alias("b"), (F.col("a.dt") == F.col("b.dt")) & (F.col("a.region") < F.col("b.region")))
+    pairs = pairs.select("a.dt", F.concat_ws("|", "a.region", "b.region").alias("symbol"), F.col("a.ret").alias("x"), F.col("b.ret").alias("y"))
+    both = F.when(F.col("x").isNotNull(), F.col("y"))
+    by = pairs.withColumn("c", F.when(F.count(both).over(over(window)) >= window, correlation(F.col("x"), F.col("y"), over(window))))
+    by = by.groupBy("dt").agg(F.count("c").alias("n"), F.avg("c").alias("mean")).crossJoin(F.broadcast(pairs.agg(F.count_distinct("symbol").alias("all"))))  # one row
+    return by.agg(F.coalesce(F.max_by(F.when(F.col("n") == F.col("all"), F.col("mean")), F.when(F.col("n") == F.col("all"), F.col("dt"))), F.lit(0.5)).alias("alignment"))
 
 
 def coherence(signals: DataFrame, home: str, others: list[str], window: int = 12) -> DataFrame:
@@ -76,7 +85,7 @@ def coherence(signals: DataFrame, home: str, others: list[str], window: int = 12
     f = lambda c: F.max(F.when(F.col("symbol") == home, F.col(c))).alias(f"h_{c}")
     g = lambda c: F.percentile(F.when(F.col("symbol").isin(*others), F.col(c)), F.lit(0.5)).alias(f"o_{c}")
     by = signals.groupBy("dt").agg(f("flow_pressure"), g("flow_pressure"), f("risk_direction"), g("risk_direction")).orderBy(F.desc("dt")).limit(window)
-    both = by.agg(F.count("*").alias("n"), F.corr("h_flow_pressure", "o_flow_pressure").alias("a"), F.corr("h_risk_direction", "o_risk_direction").alias("b"))
+    both = by.agg(F.count("*").alias("n"), correlation(F.col("h_flow_pressure"), F.col("o_flow_pressure")).alias("a"), correlation(F.col("h_risk_direction"), F.col("o_risk_direction")).alias("b"))
     value = F.coalesce(clip((F.col("a") + F.col("b")) / 2, -1, 1), F.lit(0.0))
     return both.select(F.when(F.col("n") < window, 0.0).otherwise(value).alias("coherence"))
 
@@ -85,7 +94,8 @@ def global_state(signals: DataFrame, weekly: DataFrame, roles: dict[str, str], e
     """A9, A10, P30, P33, P34, P36 of the last week: one row.  roles: home, credit, usd."""
     last = signals.join(F.broadcast(signals.agg(F.max("dt").alias("dt"))), "dt", "left_semi")
     one = lambda s, c: F.max(F.when(F.col("symbol") == s, F.col(c)))
-    mid = lambda group: F.percentile(F.when(F.col("symbol").isin(*group), F.col("flow_pressure")), F.lit(0.5))
+    # a member without a value leaves the group without a median
+    mid = lambda group: F.when(F.count(F.when(F.col("symbol").isin(*group) & F.col("flow_pressure").isNull(), 1)) == 0, F.percentile(F.when(F.col("symbol").isin(*group), F.col("flow_pressure")), F.lit(0.5)))
     share = lambda c: F.sum(F.when(F.col("symbol").isin(*equity), flag(F.col(c) > 0)).otherwise(0)) / float(len(equity))
     others = [s for s in equity if s != roles["home"]]
     aggs = [mid(equity).alias("m_eq"), mid(bonds).alias("m_bo"), mid(goods).alias("m_go"), mid(others).alias("m_ot"), share("flow_pressure").alias("participation"), share("risk_direction").alias("risk_breadth"), one(roles["credit"], "flow_pressure").alias("credit")]
@@ -103,7 +113,7 @@ def participation_momentum(weekly: DataFrame) -> DataFrame:
     df = weekly.withColumn("vol20", roll(F.stddev_samp, F.col("ret"), over(20), 20))
     df = df.withColumn("__f", roll(quantile(0.1), F.col("vol20"), over(252), 20))
     edges = df.groupBy("symbol").agg(F.percentile("ret", F.lit(0.01)).alias("lo"), F.percentile("ret", F.lit(0.99)).alias("hi"))
-    df = df.join(F.broadcast(edges), "symbol")
+    df = df.join(edges, "symbol")
     adj = F.when(F.col("vol20").isNotNull() & F.col("__f").isNotNull(), F.greatest("vol20", "__f", F.lit(0.01)))
     df = robust_z(df, "dv", "__p", 60, mp=20, limit=5.0)
     df = df.withColumn("__raw", 0.6 * F.col("__p") + 0.4 * F.least(F.greatest("ret", "lo"), F.col("hi")) / adj)
@@ -136,7 +146,7 @@ def stability(series: DataFrame, x: str, window: int = 12) -> DataFrame:
     recent = df.filter(F.col("__rn") <= window).groupBy("symbol").agg(F.when(F.count(x) >= 2, F.stddev_samp(x)).alias("recent"))
     historic = known.withColumn("__h", roll(F.stddev_samp, F.col(x), over(252), window)).groupBy("symbol").agg(F.count("*").alias("n"), F.max_by("__h", "dt").alias("historic"))
     mid = df.filter(F.col("__rn") <= 60).groupBy("symbol").agg(F.when(F.count(x) >= 60, F.percentile(x, F.lit(0.5))).alias("mid"), F.max_by(x, "dt").alias("now"))
-    dev = df.filter(F.col("__rn") <= 60).join(F.broadcast(mid), "symbol").groupBy("symbol").agg(F.percentile(F.abs(F.col(x) - F.col("mid")), F.lit(0.5)).alias("mad"), F.first("mid").alias("mid"), F.first("now").alias("now"))
+    dev = df.filter(F.col("__rn") <= 60).join(mid, "symbol").groupBy("symbol").agg(F.percentile(F.abs(F.col(x) - F.col("mid")), F.lit(0.5)).alias("mad"), F.first("mid").alias("mid"), F.first("now").alias("now"))
     out = historic.join(recent, "symbol").join(dev, "symbol")
     steady = F.when((F.col("n") >= window) & (F.col("historic") != 0), 1 - F.least(F.col("recent") / F.nullif(F.col("historic"), F.lit(0.0)), F.lit(1.0)))
     shift = (F.col("n") >= 60) & (F.abs(div(F.col("now") - F.col("mid"), 1.4826 * F.col("mad"))) > 2.5)
@@ -149,13 +159,10 @@ def correlation_stress(weekly: DataFrame, span: int = 60, window: int = 156, mp:
     x = weekly.select("dt", "symbol", "ret")
     pairs = x.alias("a").join(x.alias("b"), (F.col("a.dt") == F.col("b.dt")) & (F.col("a.symbol") < F.col("b.symbol")))
     df = pairs.select(F.concat_ws("|", "a.symbol", "b.symbol").alias("symbol"), F.col("a.dt").alias("dt"), F.col("a.ret").alias("x"), F.col("b.ret").alias("y"))
-    d = 1 - 2 / (span + 1)
-    acc = F.collect_list(F.struct("x", "y")).over(over(None))
-    # one fold carries the five weighted sums; the weights of earlier weeks shrink by d a step
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "x", "y", "xx", "yy", "xy")])
-    step = lambda s, p: F.struct((s["w"] * d + 1).alias("w"), (s["x"] * d + p["x"]).alias("x"), (s["y"] * d + p["y"]).alias("y"), (s["xx"] * d + p["x"] * p["x"]).alias("xx"), (s["yy"] * d + p["y"] * p["y"]).alias("yy"), (s["xy"] * d + p["x"] * p["y"]).alias("xy"))
-    df = df.withColumn("s", F.aggregate(acc, zero, step))
-    m = lambda n: F.col(f"s.{n}") / F.col("s.w")
+    df = df.withColumns({"xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")})
+    for n in ("x", "y", "xx", "yy", "xy"):  # weighted means over a bounded frame
+        df = ewm(df, n, f"m_{n}", decay_of(span=span))
+    m = lambda n: F.col(f"m_{n}")
     cov, vx, vy = m("xy") - m("x") * m("y"), m("xx") - m("x") * m("x"), m("yy") - m("y") * m("y")
     df = df.withColumn("n", F.row_number().over(ordered())).withColumn("c", F.when((F.col("n") > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)))
     mean = df.groupBy("dt").agg(F.avg("c").alias("mean_corr")).withColumn("one", F.lit(1))
@@ -163,6 +170,27 @@ def correlation_stress(weekly: DataFrame, span: int = 60, window: int = 156, mp:
     return mean.select("dt", "mean_corr", "stress_z", flag(F.col("stress_z") > 2).alias("stress"))
 
 
+def regime_row(history: DataFrame | None, now: DataFrame) -> DataFrame:
+    """The row (ts, regime, score, persistence) to append to the history for ``now`` (ts, score; one row).
+
+    The label has no hysteresis; persistence is the last row's plus one if its label is the same, else 1.
+    """
+    row = now.select("ts", lad.regime_label(F.col("score")).alias("regime"), "score")
+    if history is None:
+        return row.withColumn("persistence", F.lit(1))
+    last = history.select(F.col("regime").alias("was"), F.coalesce("persistence", F.lit(0)).alias("held"), F.col("ts").alias("at")).orderBy(F.desc("at")).limit(1)
+    row = row.join(F.broadcast(last), F.lit(True), "left")  # one row
+    return row.select("ts", "regime", "score", F.when(F.col("regime") == F.col("was"), F.col("held") + 1).otherwise(1).alias("persistence"))
+
+
+def regime_history(scores: DataFrame, key: str = "symbol") -> DataFrame:
+    """P36 for whole series: what appending ``regime_row`` week by week leaves (label and how many rows it has held)."""
+    w = ordered(key)
+    df = scores.withColumn("label", lad.regime_label(F.col("score"))).withColumn("__n", F.row_number().over(w))
+    df = df.withColumn("__new", F.when(F.coalesce(F.lag("label").over(w) != F.col("label"), F.lit(True)), F.col("__n")))
+    return df.withColumn("persistence", F.col("__n") - F.last("__new", ignorenulls=True).over(over(None, key)) + 1).drop("__n", "__new")
+
+
 def regime_hysteresis(scores: DataFrame, key: str = "symbol") -> DataFrame:
     """Per key the labels of scores in time order, upgrades only after three weeks in the old label.
 

@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
 CALM = "(1 / (1 + coalesce(greatest(vix_z - 0.5, 0.0), 0.0)))"
 SNAP = [
     f"sn0 AS (SELECT act.*, rel / nullif(lag(rel, 20) OVER ({W}), 0) - 1 AS pm FROM act)",
-    "sn1 AS (SELECT sn0.*, breadth_signal, vix_z, CASE WHEN count(flow_mom) OVER (PARTITION BY sn0.dt) >= 2 THEN stddev_samp(flow_mom) OVER (PARTITION BY sn0.dt) END AS flow_dispersion FROM sn0 LEFT JOIN feat USING (dt))",
+    "hm AS (SELECT report_dt, cot_z AS home_z FROM ct WHERE market = (SELECT max(market) FROM ct WHERE regexp_matches(market, 'nation_1', 'i')))",
+    "sn1 AS (SELECT sn0.*, breadth_signal, vix_z, home_z, CASE WHEN count(flow_mom) OVER (PARTITION BY sn0.dt) >= 2 THEN stddev_samp(flow_mom) OVER (PARTITION BY sn0.dt) END AS flow_dispersion FROM sn0 LEFT JOIN feat ON feat.dt = sn0.dt ASOF LEFT JOIN hm ON sn0.dt >= hm.report_dt)",
     "sn2 AS (SELECT *, tanh(pm) AS tp, tanh(flow_mom) AS tf, tanh(flow_acc) AS ta, tanh(vol_z) AS tv FROM sn1)",
     "sn3 AS (SELECT *, CASE WHEN abs(-tp * tf) < 0.02 THEN 0.0 ELSE -tp * tf END AS dv FROM sn2)",
     """sn4 AS (SELECT *, 2 * dv + 0.8 * ((-tf - dv) * (CASE WHEN abs(tf) < 0.2 THEN 0.5 ELSE 1.0 END)) + (CASE WHEN ta < 0 THEN -ta ELSE -1.5 * ta END) + (CASE WHEN flow_mom < 0 THEN 0.8 * tv ELSE 0.0 END) AS risk_score,
@@ -51,22 +52,29 @@ SNAP = [
       CASE WHEN opportunity > 0.4 THEN 'OPORTUNIDAD CLARA' WHEN opportunity > 0.2 THEN 'OPORTUNIDAD MODERADA' WHEN opportunity > 0.05 THEN 'SEGUIR CON PRUDENCIA' ELSE 'NO OPERAR' END AS operability,
       CASE WHEN flow_mom > 0.2 THEN 'ALCISTA' WHEN flow_mom < -0.2 THEN 'BAJISTA' ELSE 'TRANSICION' END AS direction,
       CASE WHEN persistence = 'TRANSICION' AND phase = 'ACUMULACION' THEN 'SEÑAL TEMPRANA' WHEN persistence LIKE 'PERSISTENCIA%' THEN 'SEÑAL CONSOLIDADA' ELSE 'NEUTRAL' END AS signal_state,
-      CASE WHEN binary_score >= 0.7 THEN 'ALTA' WHEN binary_score >= 0.4 THEN 'MEDIA' ELSE 'BAJA' END AS alert_level,
+      CASE WHEN binary_score >= 0.7 THEN 'DISTRIBUCION FUERTE' WHEN binary_score >= 0.4 THEN 'POSIBLE DISTRIBUCION' ELSE 'SIN SENAL' END AS alert_level,
       CASE WHEN flow_mom > 2 THEN 'Fuerte entrada' WHEN flow_mom > 0.8 THEN 'Entrada moderada' WHEN flow_mom < -2 THEN 'Fuerte salida' WHEN flow_mom < -0.8 THEN 'Salida moderada' ELSE 'Neutral' END AS flow_intensity,
       CASE WHEN flow_dispersion > 0.5 THEN 'Alta dispersion (rotacion)' WHEN flow_dispersion > 0.2 THEN 'Dispersion moderada (transicion)' ELSE 'Baja dispersion (trend)' END AS dispersion_text,
       CASE WHEN vix_z > 1.5 THEN 'ALTA VOLATILIDAD' WHEN vix_z > 1 THEN 'Volatilidad elevada' END AS vix_text,
-      (0.4 * p_bin + 0.3 * p_cont + 0.3 * (tf + 1) / 2) * {CALM} AS unified, flow_mom * (1 + 0.3 * coalesce(acc_z, 0)) AS macro_adjusted, flow_mom * {CALM} AS volatility_adjusted,
+      (0.4 * p_bin + 0.3 * p_cont + 0.3 * (tanh(risk_score * (1 + 0.3 * coalesce(home_z, 0)) * {CALM}) + 1) / 2) * {CALM} AS unified, risk_score * (1 + 0.3 * coalesce(home_z, 0)) AS macro_adjusted, risk_score * (1 + 0.3 * coalesce(home_z, 0)) * {CALM} AS volatility_adjusted,
       greatest(0.0, abs(pm) + abs(flow_mom) - 0.1 * abs(vol_z)) AS signal_quality,
       greatest(0.0, least(1.0, 0.4 * greatest(0.0, breadth_signal) + 0.3 * (1 - (CASE WHEN vix_z IS NOT NULL THEN least(vix_z, 2.0) END) / 2) + 0.3 * (1 - flow_dispersion))) AS system_confidence FROM sn5)""",
 ]
+COT = [
+    """ct0 AS (SELECT n_name AS market, date_trunc('week', l_shipdate)::DATE AS report_dt, coalesce(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity::BIGINT END), 0)::DOUBLE AS asset_long,
+      coalesce(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity::BIGINT END), 0)::DOUBLE AS asset_short FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)""",
+    "ct1 AS (SELECT *, asset_long - asset_short AS net_position, count(*) OVER (PARTITION BY market) AS n FROM ct0)",
+    f"ct AS (SELECT *, {o.roll('avg({})', 'net_position', 52, 10, 'market', 'report_dt')} AS mean, {o.roll('stddev_samp({})', 'net_position', 52, 10, 'market', 'report_dt')} AS std, {o.zs('net_position', 52, 10, 0.0, 'market', 'report_dt')} AS cot_z FROM ct1 WHERE n >= 10)",
+]
 LABELS = ["symbol", "dt", "phase", "persistence", "distribution_class", "confidence", "operability", "direction", "signal_state", "alert_level", "flow_intensity", "dispersion_text", "vix_text"]
 SCORES = ["risk_score", "binary_score", "divergence", "p_cont", "p_bin", "opportunity", "unified", "macro_adjusted", "volatility_adjusted", "signal_quality", "system_confidence"]
 
 
-@query("p06_p23_p26_p27_r29_snapshot", sql_result([*pf.BASE, o.bench(), o.FEAR, pf.REL, pf.ACT, pf.FEAT, *SNAP], "sn", LABELS, SCORES))
+@query("p06_p23_p26_p27_r29_snapshot", sql_result([*pf.BASE, o.bench(), o.FEAR, pf.REL, pf.ACT, pf.FEAT, *COT, *SNAP], "sn", LABELS, SCORES))
 def snapshot(spark, d):
     market, bench = b.market(spark, d), b.benchmark(spark, d)
-    return result(s.snapshot(market, bench, f.features_daily(market, bench, b.fear(spark, d))), LABELS, SCORES)
+    home = op.home_positioning(op.positioning_z(b.positioning(spark, d)), MAP["SPY"])
+    return result(s.snapshot(market, bench, f.features_daily(market, bench, b.fear(spark, d)), home), LABELS, SCORES)
 
 
 def tanh_z(src: str, out: str, x: str, col: str, n: int) -> list[str]:
@@ -96,14 +104,6 @@ def options(spark, d):
     return result(op.market_structure(b.put_call(spark, d), b.options_volume(spark, d)), *OMS)
 
 
-COT = [
-    """ct0 AS (SELECT n_name AS market, date_trunc('week', l_shipdate)::DATE AS report_dt, coalesce(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity::BIGINT END), 0)::DOUBLE AS asset_long,
-      coalesce(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity::BIGINT END), 0)::DOUBLE AS asset_short FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)""",
-    "ct1 AS (SELECT *, asset_long - asset_short AS net_position, count(*) OVER (PARTITION BY market) AS n FROM ct0)",
-    f"ct AS (SELECT *, {o.roll('avg({})', 'net_position', 52, 10, 'market', 'report_dt')} AS mean, {o.roll('stddev_samp({})', 'net_position', 52, 10, 'market', 'report_dt')} AS std, {o.zs('net_position', 52, 10, 0.0, 'market', 'report_dt')} AS cot_z FROM ct1 WHERE n >= 10)",
-]
-
-
 @query("r30_r31_positioning_z", sql_result(COT, "ct", ["market", "report_dt"], ["net_position", "mean", "std", "cot_z"]))
 def positioning(spark, d):
     return result(op.positioning_z(b.positioning(spark, d)), ["market", "report_dt"], ["net_position", "mean", "std", "cot_z"])
@@ -117,9 +117,19 @@ BY_KEY = [
 ]
 
 
-def by_key(spark, d):
+#: Each market's own last row in place of the last report date's rows.
+LATEST = "lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY report_dt DESC) AS back FROM ct) WHERE back = 1)"
+BY_OWN_DATE = [VALUES, LATEST, BY_KEY[1].replace("FROM ct JOIN", "FROM lt JOIN").replace("WHERE report_dt = (SELECT max(report_dt) FROM ct) ", ""), BY_KEY[2]]
+
+
+@query("a6_latest_by_market", sql_result([*COT, LATEST], "lt", ["market", "report_dt"], ["net_position", "cot_z"]))
+def latest(spark, d):
+    return result(op.latest_by_market(op.positioning_z(b.positioning(spark, d))), ["market", "report_dt"], ["net_position", "cot_z"])
+
+
+def by_key(spark, d, by_market=False):
     rows = spark.createDataFrame(list(MAP.items()), "key string, pattern string")
-    return op.sector_positioning(op.positioning_z(b.positioning(spark, d)), rows)
+    return op.sector_positioning(op.positioning_z(b.positioning(spark, d)), rows, by_market)
 
 
 @query("j7_a6_a7_p38_p39_sector_positioning", sql_result([*COT, *BY_KEY], "sk", ["key", "instruments", "report_dt", "label", "stale"], ["z"]))
@@ -140,9 +150,9 @@ FACTORS = [
 FACTOR_OUT = (["inferred"], ["risk", "defensive", "rotation", "short_rates", "long_rates", "curve_spread"])
 
 
-@query("a8_synthetic_factors", sql_result([*COT, *BY_KEY, *FACTORS], "sf", *FACTOR_OUT))
+@query("a8_synthetic_factors", sql_result([*COT, *BY_OWN_DATE, *FACTORS], "sf", *FACTOR_OUT))
 def factors(spark, d):
-    return result(op.synthetic_factors(by_key(spark, d)), *FACTOR_OUT)
+    return result(op.synthetic_factors(by_key(spark, d, by_market=True)), *FACTOR_OUT)
 
 
 @query("s11_a25_merge_positioning", sql_result([*COT[:1], "mg AS (SELECT market, report_dt, CASE WHEN report_dt < DATE '2000-01-01' THEN asset_long ELSE asset_long + 1 END AS asset_long, asset_short FROM ct0)"], "mg", ["market", "report_dt"], ["asset_long", "asset_short"]))

@@ -209,6 +209,17 @@ def hysteresis(spark, d):
     return result(w.regime_hysteresis(hysteresis_scores(spark, d)), ["symbol", "dt", "label", "count"], ["score"])
 
 
+HELD = [
+    "rh0 AS (SELECT *, k - row_number() OVER (PARTITION BY symbol, fresh ORDER BY k) AS island FROM hy1)",
+    "rh AS (SELECT symbol, dt, score, fresh AS label, row_number() OVER (PARTITION BY symbol, fresh, island ORDER BY k) AS persistence FROM rh0)",
+]
+
+
+@query("p36_s13_regime_history", sql_result([*pf.BASE, *HYST[:2], *HELD], "rh", ["symbol", "dt", "label", "persistence"], ["score"]))
+def regime_history(spark, d):
+    return result(w.regime_history(hysteresis_scores(spark, d)), ["symbol", "dt", "label", "persistence"], ["score"])
+
+
 NEED = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "ATLANTIS"]
 REQUIRED = "rq(symbol) AS (VALUES " + ", ".join(f"('{s}')" for s in NEED) + ")"
 

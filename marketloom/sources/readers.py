@@ -5,6 +5,9 @@ Network downloads are not part of the engine; these readers take what a download
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,22 @@ def write_cache(bars: DataFrame, path: str) -> None:
     bars.write.mode("overwrite").parquet(path)
 
 
+def cache_age_hours(spark: SparkSession, path: str) -> float | None:
+    """Hours since the cache was written; None without one that is complete."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (time.time() - fs.getFileStatus(done).getModificationTime() / 1000) / 3600 if fs.exists(done) else None
+
+
+def cached_bars(spark: SparkSession, path: str, universe: str, make: Callable[[], DataFrame], hours: float = 23, force: bool = False) -> DataFrame:
+    """The cache while it is younger than ``hours``; else what ``make`` returns, written there first."""
+    age = None if force else cache_age_hours(spark, path)
+    if age is None or age >= hours:
+        write_cache(make(), path)
+    return read_bars(spark, path, universe)
+
+
 def wide_to_long(wide: DataFrame, date: str = "Date", close_suffix: str = "") -> DataFrame:
     """Columns T (or T_close), T_open, T_high, T_low, T_volume to one row a symbol and day."""
     parts = ("open", "high", "low", "volume")

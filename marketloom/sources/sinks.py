@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,42 @@ def splice(report: list[str], section: list[str], before: str = "## Conclusion")
     return [*report[:at], *section, *report[at:]]
 
 
-def validation_report(horizons: dict[int, DataFrame], turnover: float | None, persistence: float | None) -> list[str]:
-    """The metrics of each horizon, turnover and persistence with the thresholds they are read against."""
+def validation_report(horizons: dict[int, DataFrame], turnover: float | None, persistence: float | None, buckets: dict[int, DataFrame] | None = None) -> list[str]:
+    """The metrics of each horizon, then of each class by capitalisation (``buckets``: by horizon, a row a class in
+    column ``bucket``), turnover and persistence with the thresholds they are read against."""
     lines = ["# Forward validation of leaders"]
     for h, df in sorted(horizons.items()):
         lines += ["", f"## {h} bars", "", *table([r.asDict() for r in df.collect()], df.columns)]
+    if buckets:
+        rows = {(r["bucket"], h): r.asDict() for h, df in buckets.items() for r in df.collect()}
+        for bucket in ("Large", "Mid", "Small"):
+            lines += ["", f"## {bucket} capitalisation", ""]
+            for h in sorted(buckets):
+                r = rows.get((bucket, h))
+                lines += [f"- {h} bars: too few data" if r is None else f"- {h} bars: " + ", ".join(f"{k} {v:.4f}" if isinstance(v, float) else f"{k} {v}" for k, v in r.items() if k != "bucket" and v is not None)]
     show = lambda x: "n/a" if x is None else f"{x:.3f}"
     return [*lines, "", f"- Turnover of the top three: {show(turnover)} (good below 0.30)", f"- Rank persistence: {show(persistence)} (good above 0.50)", "- Hit rate: good above 0.50; alpha: good above 0"]
 
 
+def positioning_section(by_key: DataFrame, as_of: str) -> list[str]:
+    """The positioning table of the report: keys by falling z, with the number of instruments and the reading."""
+    rows = [r.asDict() for r in by_key.orderBy(F.desc("z"), "key").collect()]
+    if not rows:
+        return ["", "## Positioning", "", "No relevant market in the history."]
+    late = rows and (dt.date.fromisoformat(as_of) - max(r["report_dt"] for r in rows)).days
+    note = [f"Positioning is {late} days old."] if late > 8 else []
+    return ["", "## Positioning", "", *note, *table(rows, ["key", "z", "instruments", "label"])]
+
+
+def distribution_section(day: DataFrame, ranking_volatility: float | None) -> list[str]:
+    """The distribution table of the report: the snapshot's rows of one day by falling opportunity."""
+    columns = ["symbol", "divergence", "binary_score", "p_bin", "p_cont", "risk_score", "confidence", "distribution_class", "phase", "direction", "volatility_adjusted", "unified", "system_confidence", "signal_quality", "opportunity", "operability", "persistence", "signal_state", "alert_level"]
+    x = ranking_volatility
+    reading = "no data" if x is None else f"{x:.3f}, " + ("extreme rotation" if x > 0.15 else "moderate rotation" if x > 0.05 else "stable market")
+    rows = [r.asDict() for r in day.orderBy(F.desc("opportunity"), "symbol").collect()]
+    return ["", "## Distribution", "", f"Ranking volatility over 5 days: {reading}", "", *table(rows, columns)]
+
+
 def write_leaders(scored: DataFrame, path: str) -> None:
     """One CSV, by sector and falling wls."""
     scored.orderBy("sector", F.desc("wls")).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -20,7 +20,7 @@ def test_positioning(spark, z, label):
     assert value(spark, lad.positioning_label(F.lit(z))) == label
 
 
-@pytest.mark.parametrize(("score", "label"), [(0.7, "ALTA"), (0.69, "MEDIA"), (0.4, "MEDIA"), (0.39, "BAJA")])
+@pytest.mark.parametrize(("score", "label"), [(0.7, "DISTRIBUCION FUERTE"), (0.69, "POSIBLE DISTRIBUCION"), (0.4, "POSIBLE DISTRIBUCION"), (0.39, "SIN SENAL")])
 def test_alert_is_inclusive(spark, score, label):
     assert value(spark, lad.alert_level(F.lit(score))) == label
 

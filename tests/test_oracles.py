@@ -1,4 +1,5 @@
-"""Queries against their SQL in DuckDB on the driver's tables; set ORACLES=all for every query."""
+"""Queries against their SQL in DuckDB on the driver's tables; set ORACLES=all for every query and
+ORACLES_DATA for another folder (some series of sf0.001 are nearly constant, where the last digits differ)."""
 
 import glob
 import os
@@ -8,7 +9,7 @@ import pytest
 
 from marketloom.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLES_DATA", "/root/testdata/sf0.001")
 FEW = ["s3_j1_j2_r45_market_frame", "r13_flow_radar_weekly", "r30_r31_positioning_z", "a13_r39_participation_momentum", "a20_j10_forward_returns", "v1_integrity", "x01_stream_intraday_bars"]
 NAMES = sorted(registry.queries()) if os.environ.get("ORACLES") == "all" else FEW
 
