@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import checked, fresh, save, text_key
+from .common import checked, drop, fresh, save, text_key
 
 NO_ID = -(2**63)
 LINE = "h1 bigint, h2 bigint, doc_id bigint, tkey bigint, pos int, n_lines int"
@@ -172,17 +172,21 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per (doc_id, text key) that loses a line: n_lines, n_dropped, keep (zlib of the packed bits; 1: kept)."""
-    rows = line_hashes(docs.select("doc_id", "text"), min_chars)
-    rows = rows.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "tkey", "pos")
+    # written first: the range partitioner reads its input twice, once for the sample
+    hashed = save(line_hashes(docs.select("doc_id", "text"), min_chars), "line_hashes", rows=512)
+    rows = hashed.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "tkey", "pos")
     table = save(rows, "lines", rows=10000)
+    drop(hashed)
     placed = table.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     edges = save(placed.select("h1", "h2", "file", "start").mapInArrow(_edges, EDGE).distinct(), "edges")
-    totals = table.join(F.broadcast(edges), ["h1", "h2"]).groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    totals = table.join(checked(edges), ["h1", "h2"]).groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
     tops = {(r["h1"], r["h2"]): r["top"] for r in totals.filter(F.col("n") >= min_docs).collect()}
     at_edge = {(r["h1"], r["h2"]) for r in edges.collect()}
     hits = placed.mapInArrow(_stream(min_docs, at_edge, tops), HIT)
     marked = hits.groupBy("doc_id", "tkey", "n_lines").agg(F.collect_list("pos").alias("pos"))
-    return save(marked.mapInArrow(_bitmaps, BITMAP), "bitmaps")
+    out = save(marked.mapInArrow(_bitmaps, BITMAP), "bitmaps")
+    drop(table, edges)
+    return out
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
