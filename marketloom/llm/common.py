@@ -1,7 +1,8 @@
 """Shared plumbing of the corpus operators: the shared work folder, eager tables, size-checked broadcasts.
 
 Every intermediate table goes to the folder the cluster names in ``spark.checkpoint.dir``; a lost executor then
-costs the tasks it ran, never a cached block.  Nothing here uses ``localCheckpoint`` or a machine-local folder.
+costs the tasks it ran, never a cached block.  Nothing here uses ``localCheckpoint``; a machine-local folder serves only
+where none is set and the master is local, as in tests.
 """
 
 from __future__ import annotations
