@@ -9,7 +9,7 @@
 3. A word is removed if one of these windows covers it and a smaller doc_id has the same window; touching windows make
    the maximal repeats.
 
-Entries travel in packed blocks.  Within a chunk of texts repeated anchors and windows are settled on the spot and sent
+Entries travel in packed blocks, in buckets whose number goes by the bytes of all texts.  Within a chunk of texts repeated anchors and windows are settled on the spot and sent
 once, so a passage that a third of all documents hold is a few entries a chunk.
 
 Defined cases: null texts have no words; null ids rank above all others; rows that share an id are one document (none
@@ -20,6 +20,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from .common import drop, save, text_key
 GRAM = 6
 #: Finds that a task gathers before it sends them on (20 bytes each).
 FINDS = 2_000_000
+#: Bytes of text whose entries one bucket gets on average: a task holds a bucket at a time.
+BUCKET_TEXT = 16 << 20
 NO_ID = 2**63 - 1
 BLOCK = "bucket int, settled boolean, h binary, g binary, doc binary, pos binary, many binary, ids binary, keys binary"
 PART = "part int, ids binary, keys binary, counts binary, pos binary"
@@ -238,20 +241,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "tkey", "pos"])
 
 
-def _found(blocks: DataFrame, by_least: bool, name: str) -> DataFrame:
+def _buckets(own: DataFrame) -> int:
+    """Buckets for the bytes of all texts, so that one bucket stays the same size however large the corpus is."""
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * partitions(own), math.ceil(size / BUCKET_TEXT))
+
+
+def _found(blocks: DataFrame, buckets: int, by_least: bool, name: str) -> DataFrame:
     n = partitions(blocks)
-    dealt = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(by_least, 2 * n), PART)
+    dealt = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(by_least, max(1, buckets // 2)), PART)
     return save(dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_gather, FOUND), name, rows=64)
 
 
 def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     """(doc_id, tkey, pos): packed first words of the windows that a smaller doc_id has; null ids as NO_ID."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = 4 * partitions(docs)
-    seeds = _found(own.mapInArrow(_anchors(size, buckets), BLOCK), False, "seeds")
+    buckets = _buckets(own)
+    seeds = _found(own.mapInArrow(_anchors(size, buckets), BLOCK), buckets, False, "seeds")
     held = seeds.withColumnRenamed("pos", "seeds")
     near = own.join(held, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "seeds")
-    out = _found(near.mapInArrow(_extend(size, buckets), BLOCK), True, "repeats")
+    out = _found(near.mapInArrow(_extend(size, buckets), BLOCK), buckets, True, "repeats")
     drop(seeds)
     return out
 
