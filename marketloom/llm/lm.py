@@ -9,7 +9,10 @@ Three counts have to meet for a token, c(h,w), c(h) and c(w), so tokens are deal
 both words: cell (i, j) gets the tokens with context hash in part i and word hash in part j, and the slices i and j of
 the word counts.  The side of the grid is the root of the token count, so cells keep their size as the corpus grows
 and each count is copied to one row and one column only.  Tokens travel in packed blocks with a dictionary of their
-chunk, repeats within a document merged; cells send back sums for each document.  Nothing is broadcast but the weights.
+chunk, repeats within a document merged; cells send back sums for each document.  Nothing is broadcast but the weights
+and the frequent bigrams, those of at least 1 / 65,536 of the training tokens (so at most 65,536 with their counts):
+the fit, to which a chunk sends a bigram once, finds them, and their tokens are scored where the texts are, so that a
+bigram that every document holds sends nothing to its cell.
 
 The weights are fitted from a histogram of the held-out tokens (bucket, log2 of the two ratios in quarters, with their
 mean), whose size does not depend on the corpus.
@@ -37,6 +40,10 @@ from .common import save, small_batches
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 40
 CELL_TOKENS = 2_000_000
+#: Bigrams with at least one in so many training tokens are frequent: there are at most so many of them.
+FREQUENT = 1 << 16
+#: No bigram below this count is frequent.
+FREQUENT_LEAST = 64
 #: Word counts that a task packs at once.
 WORDS = 1 << 20
 COUNTS = "w bigint, c bigint, o bigint"
@@ -44,10 +51,12 @@ BLOCK = "cell int, kind int, chunk bigint, a binary, b binary, c binary, d binar
 _NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 WORD_ROW, WORD_COLUMN, TOKENS, DOCS = range(4)
-BINS = "bucket int, i2 int, i1 int, n bigint, s2 double, s1 double"
+BINS = "bucket int, i2 int, i1 int, pair bigint, n bigint, s2 double, s1 double"
 SUMS = "chunk bigint, kind int, a binary, b binary, c binary, d binary, e binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 NONE = -(10**6)
+#: The bucket of rows that carry a frequent bigram: its hash, c(h,w), c(h) and c(w).
+HOT = -1
 
 
 def _z(a: np.ndarray, t) -> bytes:
@@ -113,8 +122,24 @@ def _small(n: int):
     return np.uint8 if n <= 256 else np.uint16 if n <= 65536 else np.uint32
 
 
-def _token_blocks(side: int, score: bool):
-    """Blocks of the tokens by cell; for scores also a row with the chunk's documents, else training tokens only."""
+class _Sums:
+    """Sums of log probabilities by document from the counts of its tokens."""
+
+    def __init__(self, n_all: int, v_all: int, weights: np.ndarray) -> None:
+        self.n, self.v, self.weights = n_all, v_all, weights
+        self.floor = math.log10(n_all + 0.5 * (v_all + 1))
+
+    def logs(self, c2: np.ndarray, ch: np.ndarray, cw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the base and of the model for tokens with these counts."""
+        lam = self.weights[bucket(ch)]
+        p = lam[:, 0] * c2 / np.maximum(ch, 1) + lam[:, 1] * cw / max(self.n, 1) + lam[:, 2] / (self.v + 1)
+        return np.log10(cw + 0.5) - self.floor, np.log10(p)
+
+
+def _token_blocks(side: int, sums: _Sums | None = None, hot: np.ndarray | None = None):
+    """Blocks of the tokens by cell; for scores (with ``sums``) also a row with the chunk's documents and the sums of
+    their tokens of ``hot`` bigrams (columns pair, c2, ch, cw), else training tokens only."""
+    score = sums is not None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for table in text_chunks(batches, "text"):
@@ -122,8 +147,18 @@ def _token_blocks(side: int, score: bool):
             chunk = int(table["rid"][0].as_py())
             use = np.arange(len(t.w)) if score else np.flatnonzero(~t.held[t.row])
             w, h, row = t.w[use], t.h[use], t.row[use]
-            cell = _part(h, side) * side + _part(w, side)
             pair = tk.mix(h * tk.STEP[0] + w * tk.STEP[1])
+            done = b""
+            if score and len(hot):
+                at = np.minimum(np.searchsorted(hot[:, 0], pair), len(hot) - 1)
+                here = hot[at, 0] == pair
+                if here.any():
+                    logs = sums.logs(*hot[:, 1:].astype(np.int64).T)
+                    docs, which = row[here], at[here]
+                    body = [np.bincount(docs, minlength=t.n).astype(float)] + [np.bincount(docs, x[which], minlength=t.n) for x in logs]
+                    done = _z(np.concatenate(body), np.float64)
+                    w, h, row, pair = (x[~here] for x in (w, h, row, pair))
+            cell = _part(h, side) * side + _part(w, side)
             # (cell, document, pair) in one key; equal neighbours merge, a clash of the cut-off pair only merges less
             group = (cell * t.n + row).astype(np.uint64) if score else cell.astype(np.uint64)
             bits = max(1, int(side * side * max(t.n, 1)).bit_length())
@@ -150,7 +185,7 @@ def _token_blocks(side: int, score: bool):
                 ids = [-(2**63) if x is None else x for x in table["doc_id"].to_pylist()]
                 null = np.array([x is None for x in table["doc_id"].to_pylist()], dtype=np.uint8)
                 n = np.bincount(t.row, minlength=t.n)
-                yield (chunk % (side * side), DOCS, chunk, _z(np.array(ids), np.int64), _z(null, np.uint8), _z(t.held, np.uint8), _z(n, np.uint32), b"")
+                yield (chunk % (side * side), DOCS, chunk, _z(np.array(ids), np.int64), _z(null, np.uint8), _z(t.held, np.uint8), _z(n, np.uint32), done)
 
     return lambda batches: _batches(rows(batches))
 
@@ -250,14 +285,20 @@ class _Cell:
 
 
 def _histogram(n_all: int, v_all: int):
-    """Held-out tokens by (bucket, quarter log2 of f2 / f0, of f1 / f0), with the sums of both logs."""
+    """Held-out tokens by (bucket, quarter log2 of f2 / f0, of f1 / f0), with the sums of both logs; and the frequent
+    bigrams with their counts."""
+    names = [x.split()[0] for x in BINS.split(", ")]
+    least = max(FREQUENT_LEAST, math.ceil(n_all / FREQUENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f0 = 1.0 / (v_all + 1)
         for _, rows in groups(batches, "cell"):
             cell = _Cell(rows)
+            found = [np.zeros((0, 4), dtype=np.uint64)]
             for r in cell.blocks:
                 c2, ch, cw = cell.count(r["pair"]) - 1, r["ch"] - 1, r["cw"] - 1
+                often = c2 + 1 >= least
+                found.append(np.stack([r["pair"][often], *(x[often].astype(np.uint64) for x in (c2 + 1, r["ch"], r["cw"]))], axis=1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     l2 = np.where((c2 > 0) & (ch > 0), np.log2(np.maximum(c2, 1) / np.maximum(ch, 1) / f0), np.nan)
                     l1 = np.where(cw > 0, np.log2(np.maximum(cw, 1) / max(n_all - 1, 1) / f0), np.nan)
@@ -268,9 +309,12 @@ def _histogram(n_all: int, v_all: int):
                 keys, first, at = np.unique(key, return_index=True, return_inverse=True)
                 t = r["times"].astype(float)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.astype(np.int32)) for x in (b[first], i2[first], i1[first])] + [pa.array(np.bincount(at, t).astype(np.int64)), pa.array(np.bincount(at, t * np.nan_to_num(l2))), pa.array(np.bincount(at, t * np.nan_to_num(l1)))],
-                    names=["bucket", "i2", "i1", "n", "s2", "s1"],
+                    [pa.array(x.astype(np.int32)) for x in (b[first], i2[first], i1[first])] + [pa.array(np.zeros(len(keys), dtype=np.int64)), pa.array(np.bincount(at, t).astype(np.int64)), pa.array(np.bincount(at, t * np.nan_to_num(l2))), pa.array(np.bincount(at, t * np.nan_to_num(l1)))],
+                    names=names,
                 )
+            often = np.unique(np.concatenate(found), axis=0)
+            if len(often):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(often), x, dtype=np.int32)) for x in (HOT, 0, 0)] + [pa.array(often[:, 0].view(np.int64)), pa.array(often[:, 1].astype(np.int64)), pa.array(often[:, 2].astype(float)), pa.array(often[:, 3].astype(float))], names=names)
 
     return run
 
@@ -298,24 +342,21 @@ def fit_weights(bins: list[tuple[int, int, int, int, float, float]], rounds: int
     return out
 
 
-def _cell_scores(n_all: int, v_all: int, weights: np.ndarray):
+def _cell_scores(sums: _Sums):
     """Sums of each document's tokens in a cell, by chunk; the chunk's documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SUMS.split(", ")]
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-        floor = math.log10(n_all + 0.5 * (v_all + 1))
         for _, rows in groups(batches, "cell"):
             out = [(r["chunk"], DOCS, r["a"], r["b"], r["c"], r["d"], r["e"]) for r in rows if r["kind"] == DOCS]
             cell = _Cell(rows)
             for r in cell.blocks:
                 c2, ch, cw, t = cell.count(r["pair"]), r["ch"], r["cw"], r["times"]
-                lam = weights[bucket(ch)]
-                p = lam[:, 0] * c2 / np.maximum(ch, 1) + lam[:, 1] * cw / max(n_all, 1) + lam[:, 2] / (v_all + 1)
+                base, score = sums.logs(c2, ch, cw)
                 docs = r["docs"]
                 heads = np.concatenate([[0], np.cumsum(docs[1])[:-1]])
-                score = np.add.reduceat(np.log10(p) * t, heads)
-                base = np.add.reduceat((np.log10(cw + 0.5) - floor) * t, heads)
+                score, base = np.add.reduceat(score * t, heads), np.add.reduceat(base * t, heads)
                 known = np.add.reduceat(np.where(cw > 0, t, 0), heads)
                 out.append((r["chunk"], TOKENS, _z(docs[0], np.uint32), _z(known, np.uint32), _z(base, np.float64), _z(score, np.float64), b""))
             for first in range(0, len(out), 64):
@@ -329,7 +370,8 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in groups(batches, "chunk"):
         (head,) = (r for r in rows if r["kind"] == DOCS)
         n = _u(head["d"], np.uint32).astype(np.int64)
-        known, base, score = np.zeros(len(n), dtype=np.int64), np.zeros(len(n)), np.zeros(len(n))
+        known, base, score = _u(head["e"], np.float64).reshape(3, -1).copy() if head["e"] else np.zeros((3, len(n)))
+        known = known.astype(np.int64)
         # cells come in any order: add them in a fixed one, so that reruns agree to the last bit
         for r in sorted((r for r in rows if r["kind"] == TOKENS), key=lambda r: (r["a"], r["c"])):
             at = _u(r["a"], np.uint32)
@@ -357,15 +399,18 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     side = max(2, math.ceil(math.sqrt(int(total["all"]) / CELL_TOKENS)))
     words = counts.filter("c >= 2 or (c = 1 and o > 0)").select("w", "c")
 
-    def cells(score: bool) -> DataFrame:
-        blocks = own.mapInArrow(_token_blocks(side, score), BLOCK).unionByName(words.mapInArrow(_word_blocks(side), BLOCK))
+    def cells(*scoring) -> DataFrame:
+        blocks = own.mapInArrow(_token_blocks(side, *scoring), BLOCK).unionByName(words.mapInArrow(_word_blocks(side), BLOCK))
         n = min(partitions(docs), side * side)
         return blocks.repartition(n, "cell").sortWithinPartitions("cell", "kind")
 
     small_batches(spark, 10000)
-    bins = save(cells(False).mapInArrow(_histogram(n_all, v_all), BINS).groupBy("bucket", "i2", "i1").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")), "bins", rows=64)
-    weights = fit_weights([tuple(r) for r in bins.orderBy("bucket", "i2", "i1").collect()])
+    bins = save(cells().mapInArrow(_histogram(n_all, v_all), BINS).groupBy("bucket", "i2", "i1", "pair").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")), "bins", rows=64)
+    weights = fit_weights([tuple(r) for r in bins.filter(F.col("bucket") != HOT).select("bucket", "i2", "i1", "n", "s2", "s1").orderBy("bucket", "i2", "i1").collect()])
+    often = bins.filter(F.col("bucket") == HOT).select("pair", "n", F.col("s2").cast("bigint"), F.col("s1").cast("bigint")).collect()  # at most FREQUENT rows
+    hot = np.array([tuple(r) for r in often], dtype=np.int64).reshape(-1, 4).view(np.uint64)
+    model = _Sums(n_all, v_all, weights)
     small_batches(spark, 64)
-    sums = cells(True).mapInArrow(_cell_scores(n_all, v_all, weights), SUMS)
+    sums = cells(model, hot[np.argsort(hot[:, 0])]).mapInArrow(_cell_scores(model), SUMS)
     done = sums.repartition(partitions(docs), "chunk").sortWithinPartitions("chunk").mapInArrow(_total, SCORES)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
