@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders as lad
 from ..functions.primitives import change, clip, correlation, decay_of, div, ewm, flag, median, ordered, over, quantile, robust_z, roll, rolling_rank
+from ..streaming.bars import next_regime
 
 
 def weekly_data(market: DataFrame) -> DataFrame:
@@ -194,19 +196,17 @@ def regime_history(scores: DataFrame, key: str = "symbol") -> DataFrame:
 def regime_hysteresis(scores: DataFrame, key: str = "symbol") -> DataFrame:
     """Per key the labels of scores in time order, upgrades only after three weeks in the old label.
 
-    The state machine is a fold over the key's ordered scores (a weekly series), which no window can express.
+    The state machine takes one pass over the key's ordered scores (a weekly series), which no window can express.
     """
-    rows = scores.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dt", "score"))).alias("s"))
-    empty = F.array().cast("array<struct<dt:date,score:double,label:string,count:int>>")
-    start = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).alias("count"), empty.alias("out"))
-
-    def step(a, p):
-        new, old = lad.regime_label(p["score"]), a["label"]
-        up = new.isin("RISK-ON", "WEAK RISK-ON") & old.isin("NEUTRAL", "WEAK RISK-OFF", "RISK-OFF")
-        wait = up & (a["count"] < 3)
-        label = F.when(old.isNull(), new).when(new == old, old).when(wait, old).otherwise(new)
-        count = F.when(old.isNull(), 1).when((new == old) | wait, a["count"] + 1).otherwise(1)
-        entry = F.struct(p["dt"].alias("dt"), p["score"].alias("score"), label.alias("label"), count.alias("count"))
-        return F.struct(label.alias("label"), count.alias("count"), F.concat(a["out"], F.array(entry)).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("o")).select(key, "o.*")
+    types = dict(scores.select(key, "dt", "score").dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["dt", "score"], na_position="first")
+        label, count, out = None, 0, []
+        for score in rows["score"]:
+            label, count = next_regime(score, label, count)
+            out.append((label, count))
+        return rows.assign(label=[x[0] for x in out], count=[x[1] for x in out])
+
+    schema = f"`{key}` {types[key]}, dt {types['dt']}, score {types['score']}, label string, count int"
+    return scores.select(key, "dt", "score").groupBy(key).applyInPandas(run, schema)

@@ -85,3 +85,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("bars_out").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("bars_out").collect())) == sorted(map(tuple, stream.intraday_bars(df).collect()))
+
+
+def test_regime_stream_keeps_its_state(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(s, day(7 * i), float(x)) for s in ("a", "b") for i, x in enumerate(rng.random(40))]
+    df = spark.createDataFrame(rows, "symbol string, dt date, score double")
+    for part in range(4):  # a file a trigger, in time order
+        df.filter((df.dt >= day(70 * part)) & (df.dt < day(70 * part + 70))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = stream.regime_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = live.writeStream.format("memory").queryName("regimes_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("regimes_out").collect())) == sorted(map(tuple, weekly.regime_hysteresis(df).collect()))
+
+
+def test_hysteresis_of_missing_scores_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", day(0), None), ("a", day(7), 0.7), ("a", day(14), 0.35)], "symbol string, dt date, score double")
+    got = [tuple(r)[2:] for r in weekly.regime_hysteresis(df).orderBy("dt").collect()]
+    assert got == [(None, "RISK-OFF", 1), (0.7, "RISK-OFF", 2), (0.35, "WEAK RISK-OFF", 1)]
+    assert weekly.regime_hysteresis(df.limit(0)).count() == 0
