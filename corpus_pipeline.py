@@ -9,8 +9,8 @@
 Each stage takes (spark, docs, sf_dir) and all its predecessor kept; all but the last return the columns of documents.
 Rows with nulls stay unless a stage's operator says otherwise; rows that share a doc_id stay or go together in stage 3;
 an empty table passes through; extra columns pass through, whatever their names (where one is called ``copies``, the
-count of the mix is ``copies_``).  SQL cannot express stages 1 and 5, so ``ORACLE_SQL`` is
-None and tests hold each stage against brute force.
+count of the mix is ``copies_``).  A stage's table is deleted once the next one is written.  SQL
+cannot express stages 1 and 5, so ``ORACLE_SQL`` is None and tests hold each stage against brute force.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import checked, fresh, save, small_batches, text_key
+from marketloom.llm.common import checked, drop, fresh, save, small_batches, text_key
 from marketloom.llm.decontam import contaminated
 from marketloom.llm.langid import identify, learn
 from marketloom.llm.lines import keep_bitmaps, kept_text, with_bitmaps
@@ -94,6 +94,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)  # nothing reads it any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
