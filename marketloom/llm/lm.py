@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .blocks import groups, partitions, text_chunks
-from .common import save, small_batches
+from .common import drop, save, small_batches
 
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 40
@@ -408,6 +408,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     bins = save(cells().mapInArrow(_histogram(n_all, v_all), BINS).groupBy("bucket", "i2", "i1", "pair").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")), "bins", rows=64)
     weights = fit_weights([tuple(r) for r in bins.filter(F.col("bucket") != HOT).select("bucket", "i2", "i1", "n", "s2", "s1").orderBy("bucket", "i2", "i1").collect()])
     often = bins.filter(F.col("bucket") == HOT).select("pair", "n", F.col("s2").cast("bigint"), F.col("s1").cast("bigint")).collect()  # at most FREQUENT rows
+    drop(bins)
     hot = np.array([tuple(r) for r in often], dtype=np.int64).reshape(-1, 4).view(np.uint64)
     model = _Sums(n_all, v_all, weights)
     small_batches(spark, 64)
