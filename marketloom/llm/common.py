@@ -23,6 +23,7 @@ BROADCAST_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _LOCAL: list[str] = []
 
 
@@ -56,9 +57,11 @@ def settings(spark: SparkSession, **conf: object) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of plans that are returned and run later."""
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int | None = None) -> None:
+    """Bound the Arrow batches of plans that are returned and run later, by rows and, where rows are large, by bytes."""
     spark.conf.set(_ROWS, str(rows))
+    if size:
+        spark.conf.set(_BYTES, str(size))
 
 
 def save(df: DataFrame, name: str, rows: int = ARROW_ROWS) -> DataFrame:

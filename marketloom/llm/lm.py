@@ -40,6 +40,10 @@ from .common import drop, save, small_batches
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 40
 CELL_TOKENS = 2_000_000
+#: Bytes of text hashed at once; bytes of packed arrays that a task sends in a batch, and of the batches it reads.
+HASHED = 1 << 20
+BATCH = 2 << 20
+READ = 4 << 20
 #: Bigrams with at least one in so many training tokens are frequent: there are at most so many of them.
 FREQUENT = 1 << 16
 #: No bigram below this count is frequent.
@@ -71,35 +75,36 @@ def _u(b: bytes, t) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(t)
 
 
-class _Tokens:
-    """Tokens of a chunk: word hash, context hash, row."""
-
-    def __init__(self, table: pa.Table) -> None:
-        n = table.num_rows
-        hs, rows = [], []
-        for first, end, buf, offs in tk.chunks(table["text"]):
-            starts, ends, text = tk.spans(buf, offs)
-            h = tk.hashes(buf, starts, ends, lower=True)
-            count = np.bincount(text, minlength=end - first)
-            tail = np.cumsum(count)
-            hs.append(np.insert(h, tail, END))
-            rows.append(np.repeat(np.arange(first, end), count + 1))
-        self.w = np.concatenate(hs) if hs else np.zeros(0, dtype=np.uint64)
-        self.row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        self.held = np.array(table["held_out"].to_pylist(), dtype=bool)
-        self.h = np.empty_like(self.w)
-        if len(self.w):
-            self.h[0], self.h[1:] = END, self.w[:-1]
-        self.n = n
+def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hash and row of each token of a chunk."""
+    hs, rows = [], []
+    for first, end, buf, offs in tk.chunks(table["text"], HASHED):
+        starts, ends, text = tk.spans(buf, offs)
+        count = np.bincount(text, minlength=end - first)
+        hs.append(np.insert(tk.hashes(buf, starts, ends, lower=True), np.cumsum(count), END))
+        rows.append(np.repeat(np.arange(first, end, dtype=np.int32), count + 1))
+    return (np.concatenate(hs), np.concatenate(rows)) if hs else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
+
+
+def _held(table: pa.Table) -> np.ndarray:
+    return np.array(table["held_out"].to_pylist(), dtype=bool)
+
+
+def _pairs(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of each bigram."""
+    out = h * tk.STEP[0]
+    out += w * tk.STEP[1]
+    return tk.mix(out)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in text_chunks(batches, "text"):
-        t = _Tokens(table)
-        out = t.held[t.row]
-        words, at = np.unique(t.w, return_inverse=True)
-        own = np.bincount(at[~out], minlength=len(words))
-        other = np.bincount(at[out], minlength=len(words))
+        w, row = _tokens(table)
+        words, at = np.unique(w, return_inverse=True)
+        del w
+        other = np.bincount(at[_held(table)[row]], minlength=len(words))
+        own = np.bincount(at, minlength=len(words)) - other
+        del at, row
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(own.astype(np.int64)), pa.array(other.astype(np.int64))], names=["w", "c", "o"])
 
 
@@ -109,11 +114,13 @@ def _part(h: np.ndarray, side: int) -> np.ndarray:
 
 def _batches(rows: Iterator[tuple], size: int = 32) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    n = 0
     for row in rows:
         held.append(row)
-        if len(held) == size:
+        n += sum(map(len, row[3:]))
+        if len(held) == size or n >= BATCH:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), _TYPES, strict=True)], names=_NAMES)
-            held = []
+            held, n = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), _TYPES, strict=True)], names=_NAMES)
 
@@ -143,33 +150,58 @@ def _token_blocks(side: int, sums: _Sums | None = None, hot: np.ndarray | None =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for table in text_chunks(batches, "text"):
-            t = _Tokens(table)
+            w, row = _tokens(table)
+            held, n = _held(table), table.num_rows
             chunk = int(table["rid"][0].as_py())
-            use = np.arange(len(t.w)) if score else np.flatnonzero(~t.held[t.row])
-            w, h, row = t.w[use], t.h[use], t.row[use]
-            pair = tk.mix(h * tk.STEP[0] + w * tk.STEP[1])
+            h = np.concatenate([[END], w[:-1]]) if len(w) else w
             done = b""
-            if score and len(hot):
-                at = np.minimum(np.searchsorted(hot[:, 0], pair), len(hot) - 1)
-                here = hot[at, 0] == pair
-                if here.any():
-                    logs = sums.logs(*hot[:, 1:].astype(np.int64).T)
-                    docs, which = row[here], at[here]
-                    body = [np.bincount(docs, minlength=t.n).astype(float)] + [np.bincount(docs, x[which], minlength=t.n) for x in logs]
-                    done = _z(np.concatenate(body), np.float64)
-                    w, h, row, pair = (x[~here] for x in (w, h, row, pair))
-            cell = _part(h, side) * side + _part(w, side)
+            if score:
+                lens = np.bincount(row, minlength=n)
+                if len(hot):
+                    pair = _pairs(h, w)
+                    at = np.minimum(np.searchsorted(hot[:, 0], pair), len(hot) - 1)
+                    here = hot[at, 0] == pair
+                    del pair
+                    if here.any():
+                        logs = sums.logs(*hot[:, 1:].astype(np.int64).T)
+                        docs, which = row[here], at[here]
+                        body = [np.bincount(docs, minlength=n).astype(float)] + [np.bincount(docs, x[which], minlength=n) for x in logs]
+                        done = _z(np.concatenate(body), np.float64)
+                        w, h, row = (x[~here] for x in (w, h, row))
+                    del at, here
+            else:
+                use = ~held[row]
+                w, h, row = (x[use] for x in (w, h, row))
+            cell = (_part(h, side) * side + _part(w, side)).astype(np.int32)
             # (cell, document, pair) in one key; equal neighbours merge, a clash of the cut-off pair only merges less
-            group = (cell * t.n + row).astype(np.uint64) if score else cell.astype(np.uint64)
-            bits = max(1, int(side * side * max(t.n, 1)).bit_length())
-            order = np.argsort((group << np.uint64(64 - bits)) | (pair >> np.uint64(bits)))
-            w, h, row, cell, pair, group = (x[order] for x in (w, h, row, cell, pair, group))
-            new = np.ones(len(w), dtype=bool)
-            new[1:] = (group[1:] != group[:-1]) | (pair[1:] != pair[:-1])
+            pair = _pairs(h, w)
+            bits = max(1, int(side * side * max(n, 1)).bit_length())
+            key = cell.astype(np.uint64)
+            if score:
+                key *= np.uint64(n)
+                key += row.astype(np.uint64)
+            key <<= np.uint64(64 - bits)
+            key |= pair >> np.uint64(bits)
+            order = np.argsort(key)
+            new = np.ones(len(order), dtype=bool)
+            key = key[order]
+            new[1:] = key[1:] != key[:-1]
+            del key
+            pair = pair[order]
+            new[1:] |= pair[1:] != pair[:-1]
+            del pair
             heads = np.flatnonzero(new)
-            times = np.diff(np.append(heads, len(w)))
-            w, h, row, cell = w[heads], h[heads], row[heads], cell[heads]
+            times = np.diff(heads, append=len(order)).astype(np.uint32)
+            order = order[heads]
+            del new, heads
+            # one array at a time: the task holds a chunk's tokens in few copies
+            w = w[order]
+            h = h[order]
+            row = row[order]
+            cell = cell[order]
+            del order
             cuts = np.searchsorted(cell, np.arange(side * side + 1))
+            del cell
             for k in range(side * side):
                 a, b = int(cuts[k]), int(cuts[k + 1])
                 if a == b:
@@ -177,15 +209,15 @@ def _token_blocks(side: int, sums: _Sums | None = None, hot: np.ndarray | None =
                 hv, hi = np.unique(h[a:b], return_inverse=True)
                 wv, wi = np.unique(w[a:b], return_inverse=True)
                 rows_in, counts = np.unique(row[a:b], return_counts=True)
-                docs = np.stack([rows_in, counts, t.held[rows_in].astype(np.int64)]) if score else np.array([[0], [b - a], [0]])
+                docs = np.stack([rows_in, counts, held[rows_in].astype(np.int64)]) if score else np.array([[0], [b - a], [0]])
                 most = int(times[a:b].max())
                 tail = _z(times[a:b], np.uint32) if most > 1 else b""
                 yield (k, TOKENS, chunk, _z(hv, np.uint64), _z(wv, np.uint64), _z(hi, np.uint32), _z(wi, np.uint32), _pack(docs, tail))
             if score:
                 ids = [-(2**63) if x is None else x for x in table["doc_id"].to_pylist()]
                 null = np.array([x is None for x in table["doc_id"].to_pylist()], dtype=np.uint8)
-                n = np.bincount(t.row, minlength=t.n)
-                yield (chunk % (side * side), DOCS, chunk, _z(np.array(ids), np.int64), _z(null, np.uint8), _z(t.held, np.uint8), _z(n, np.uint32), done)
+                yield (chunk % (side * side), DOCS, chunk, _z(np.array(ids), np.int64), _z(null, np.uint8), _z(held, np.uint8), _z(lens, np.uint32), done)
+            del w, h, row, times
 
     return lambda batches: _batches(rows(batches))
 
@@ -253,32 +285,39 @@ class _Cell:
             c = np.concatenate([_u(r["b"], np.uint64).astype(np.int64) for r in found]) if found else np.zeros(0, dtype=np.int64)
             order = np.argsort(w)
             slices.append((w[order], c[order]))
+        self.slices = slices
         self.blocks = [r for r in rows if r["kind"] == TOKENS]
         pairs, times = [], []
         for r in self.blocks:
-            hv, wv = _u(r["a"], np.uint64), _u(r["b"], np.uint64)
-            hi, wi = _u(r["c"], np.uint32), _u(r["d"], np.uint32)
-            docs, more = _unpack(r["e"])
-            r["pair"] = tk.mix(hv[hi] * tk.STEP[0] + wv[wi] * tk.STEP[1])
+            docs, t = _unpack(r["e"])
             train = np.repeat(docs[2] == 0, docs[1])
-            r["train"], r["docs"], r["times"] = train, docs, (np.ones(len(hi), dtype=np.int64) if more is None else more.astype(np.int64))
-            r["ch"] = _lookup(*slices[0], hv)[hi].astype(np.int64)
-            r["cw"] = _lookup(*slices[1], wv)[wi].astype(np.int64)
-            for k in ("ch", "cw"):
-                r[k] = np.where(r[k] < 0, train.astype(np.int64), r[k])
-            for k in "abcde":
-                r.pop(k)
-            pairs.append(r["pair"][train])
-            times.append(r["times"][train])
+            pairs.append(_pairs(_u(r["a"], np.uint64)[_u(r["c"], np.uint32)], _u(r["b"], np.uint64)[_u(r["d"], np.uint32)])[train])
+            times.append(np.ones(len(pairs[-1]), dtype=np.uint32) if t is None else t[train])
         p = np.concatenate(pairs) if pairs else np.zeros(0, dtype=np.uint64)
-        t = np.concatenate(times) if times else np.zeros(0, dtype=np.int64)
+        del pairs
+        t = np.concatenate(times) if times else np.zeros(0, dtype=np.uint32)
+        del times
         order = np.argsort(p)
-        p, t = p[order], t[order]
+        p = p[order]
+        t = t[order]
+        del order
         new = np.ones(len(p), dtype=bool)
         new[1:] = p[1:] != p[:-1]
         heads = np.flatnonzero(new)
         self.pairs = p[heads]
-        self.c2 = np.add.reduceat(t, heads) if len(heads) else np.zeros(0, dtype=np.int64)
+        self.c2 = np.add.reduceat(t, heads, dtype=np.int64) if len(heads) else np.zeros(0, dtype=np.int64)
+
+    def tokens(self, r: dict) -> tuple[np.ndarray, ...]:
+        """Pair, c(h,w), c(h), c(w) and times of a block's tokens, and its documents (row, tokens, held out).  Blocks stay
+        packed until asked for, and are unpacked one at a time."""
+        hv, wv = _u(r["a"], np.uint64), _u(r["b"], np.uint64)
+        hi, wi = _u(r["c"], np.uint32), _u(r["d"], np.uint32)
+        docs, times = _unpack(r["e"])
+        train = np.repeat(docs[2] == 0, docs[1])
+        ch, cw = (_lookup(*x, v)[i] for x, v, i in zip(self.slices, (hv, wv), (hi, wi), strict=True))
+        ch, cw = (np.where(x < 0, train.astype(np.int64), x) for x in (ch, cw))
+        pair = _pairs(hv[hi], wv[wi])
+        return pair, self.count(pair), ch, cw, np.ones(len(hi), dtype=np.int64) if times is None else times.astype(np.int64), docs
 
     def count(self, pair: np.ndarray) -> np.ndarray:
         return np.maximum(_lookup(self.pairs, self.c2, pair), 0)
@@ -296,9 +335,10 @@ def _histogram(n_all: int, v_all: int):
             cell = _Cell(rows)
             found = [np.zeros((0, 4), dtype=np.uint64)]
             for r in cell.blocks:
-                c2, ch, cw = cell.count(r["pair"]) - 1, r["ch"] - 1, r["cw"] - 1
-                often = c2 + 1 >= least
-                found.append(np.stack([r["pair"][often], *(x[often].astype(np.uint64) for x in (c2 + 1, r["ch"], r["cw"]))], axis=1))
+                pair, *full, times, _ = cell.tokens(r)
+                often = full[0] >= least
+                found.append(np.stack([pair[often], *(x[often].astype(np.uint64) for x in full)], axis=1))
+                c2, ch, cw = (x - 1 for x in full)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     l2 = np.where((c2 > 0) & (ch > 0), np.log2(np.maximum(c2, 1) / np.maximum(ch, 1) / f0), np.nan)
                     l1 = np.where(cw > 0, np.log2(np.maximum(cw, 1) / max(n_all - 1, 1) / f0), np.nan)
@@ -307,7 +347,7 @@ def _histogram(n_all: int, v_all: int):
                 b = bucket(ch)
                 key = (b * 4096 + np.where(i2 == NONE, 0, i2 + 2048)) * 4096 + np.where(i1 == NONE, 0, i1 + 2048)
                 keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-                t = r["times"].astype(float)
+                t = times.astype(float)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.astype(np.int32)) for x in (b[first], i2[first], i1[first])] + [pa.array(np.zeros(len(keys), dtype=np.int64)), pa.array(np.bincount(at, t).astype(np.int64)), pa.array(np.bincount(at, t * np.nan_to_num(l2))), pa.array(np.bincount(at, t * np.nan_to_num(l1)))],
                     names=names,
@@ -315,6 +355,7 @@ def _histogram(n_all: int, v_all: int):
             often = np.unique(np.concatenate(found), axis=0)
             if len(often):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(often), x, dtype=np.int32)) for x in (HOT, 0, 0)] + [pa.array(often[:, 0].view(np.int64)), pa.array(often[:, 1].astype(np.int64)), pa.array(often[:, 2].astype(float)), pa.array(often[:, 3].astype(float))], names=names)
+            del rows, cell, found
 
     return run
 
@@ -352,9 +393,8 @@ def _cell_scores(sums: _Sums):
             out = [(r["chunk"], DOCS, r["a"], r["b"], r["c"], r["d"], r["e"]) for r in rows if r["kind"] == DOCS]
             cell = _Cell(rows)
             for r in cell.blocks:
-                c2, ch, cw, t = cell.count(r["pair"]), r["ch"], r["cw"], r["times"]
+                _, c2, ch, cw, t, docs = cell.tokens(r)
                 base, score = sums.logs(c2, ch, cw)
-                docs = r["docs"]
                 heads = np.concatenate([[0], np.cumsum(docs[1])[:-1]])
                 score, base = np.add.reduceat(score * t, heads), np.add.reduceat(base * t, heads)
                 known = np.add.reduceat(np.where(cw > 0, t, 0), heads)
@@ -392,6 +432,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     spark = docs.sparkSession
     held_out = crc_part(F.col("doc_id"), 5) == 1 if held_out is None else held_out
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    small_batches(spark, size=READ)  # by bytes: a row of packed arrays takes up to a few MB
     counted = own.select("held_out", "text").mapInArrow(_count, COUNTS).groupBy("w").agg(F.sum("c").alias("c"), F.sum("o").alias("o"))
     counts = save(counted, "word_counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.coalesce(F.sum(F.col("c") + F.col("o")), F.lit(0)).alias("all")).first()
@@ -404,14 +445,12 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         n = min(partitions(docs), side * side)
         return blocks.repartition(n, "cell").sortWithinPartitions("cell", "kind")
 
-    small_batches(spark, 10000)
-    bins = save(cells().mapInArrow(_histogram(n_all, v_all), BINS).groupBy("bucket", "i2", "i1", "pair").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")), "bins", rows=64)
+    bins = save(cells().mapInArrow(_histogram(n_all, v_all), BINS).groupBy("bucket", "i2", "i1", "pair").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")), "bins")
     weights = fit_weights([tuple(r) for r in bins.filter(F.col("bucket") != HOT).select("bucket", "i2", "i1", "n", "s2", "s1").orderBy("bucket", "i2", "i1").collect()])
     often = bins.filter(F.col("bucket") == HOT).select("pair", "n", F.col("s2").cast("bigint"), F.col("s1").cast("bigint")).collect()  # at most FREQUENT rows
     drop(bins)
     hot = np.array([tuple(r) for r in often], dtype=np.int64).reshape(-1, 4).view(np.uint64)
     model = _Sums(n_all, v_all, weights)
-    small_batches(spark, 64)
     sums = cells(model, hot[np.argsort(hot[:, 0])]).mapInArrow(_cell_scores(model), SUMS)
     done = sums.repartition(partitions(docs), "chunk").sortWithinPartitions("chunk").mapInArrow(_total, SCORES)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
